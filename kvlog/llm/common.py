@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,3 +66,30 @@ def sample_by(df: DataFrame, strata: str, per_stratum: int) -> DataFrame:
         bound = min(span, -(-span * per_stratum // count))
         keep = keep | ((F.col(strata) == F.lit(value)) & (F.pmod(F.xxhash64("doc_id"), F.lit(span)) < F.lit(bound)))
     return df.filter(keep).limit(2 * per_stratum * len(counts))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, part: int, per_class: int, columns: tuple[str, ...] = ("text",)) -> list[tuple]:
+    """(label, *columns) of a bounded sample of labelled documents outside the held-out part, and
+    the same rows in the same order each time. Labels other than 0 and 1 are none."""
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("_label"))
+    known = known.filter(F.col("_label").isin(0, 1) & ~held_out(F.col("doc_id"), folds, part))
+    sample = sample_by(known, "_label", per_class)  # 4 * per_class narrow rows at most: small enough to send to all
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *columns).join(F.broadcast(sample), "doc_id").select("_label", *columns)
+    return sorted(map(tuple, rows.limit(8 * per_class).collect()), key=repr)
+
+
+def best_threshold(scores, labels) -> float:
+    """The score midway between two neighbours that parts the labels with the best balanced
+    accuracy; of equals the middle one. 0 where there is one label only."""
+    scores, labels = np.asarray(scores, np.float64), np.asarray(labels, bool)
+    if labels.all() or not labels.any():
+        return 0.0
+    order = np.argsort(scores, kind="stable")
+    s, y = scores[order], labels[order]
+    gain = np.where(y, -1 / y.sum(), 1 / (~y).sum()).cumsum()[:-1]
+    gain[s[1:] == s[:-1]] = -np.inf
+    if not np.isfinite(gain).any():
+        return float(s[0])
+    best = np.flatnonzero(gain >= gain.max() - 1e-12)
+    k = best[len(best) // 2]
+    return float((s[k] + s[k + 1]) / 2)
