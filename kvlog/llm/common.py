@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -93,3 +94,17 @@ def best_threshold(scores, labels) -> float:
     best = np.flatnonzero(gain >= gain.max() - 1e-12)
     k = best[len(best) // 2]
     return float((s[k] + s[k + 1]) / 2)
+
+
+def keep_where(docs: DataFrame, decide) -> DataFrame:
+    """The rows of `docs`, whole and in place, whose text `decide` keeps. `decide()` is called
+    in each task and gives a function from a list of texts, null ones too, to a list of booleans."""
+    small_batches(docs.sparkSession)
+    at = docs.columns.index("text")
+
+    def keep(batches):
+        chosen = decide()
+        for batch in batches:
+            yield batch.filter(pa.array(chosen(batch.column(at).to_pylist()), pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)

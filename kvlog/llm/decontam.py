@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
@@ -20,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table
+from .common import keep_where, small_batches, table
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -166,7 +167,7 @@ class Items:
         return [(i, *found) for i, found in sorted(best.items())]
 
 
-def _passes(benchmark: DataFrame) -> list[list[tuple[int, str]]]:
+def _passes(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
     """The items, dealt into passes of about PASS_CHARS characters. Only one pass is here at once."""
     rows = benchmark.filter("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
@@ -205,5 +206,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return out
 
 
+def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of `docs` (text and any other columns) in which no item of `benchmark` is found."""
+    for rows in _passes(benchmark):
+        shared = docs.sparkSession.sparkContext.broadcast(rows)
+
+        def decide(shared=shared):
+            items = Items(shared.value)
+            return lambda texts: [not items.search(t) for t in texts]
+
+        docs = keep_where(docs, decide)
+    return docs
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
