@@ -114,7 +114,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     linked = cut(roots.join(classes, "fp"))
     whole = linked.groupBy("root").agg(F.min("least").alias("component"))
     linked = linked.join(whole, "root").select("fp", "component")
-    ids = classes.join(linked, "fp", "left").select("fp", F.coalesce("component", "least").alias("component_id"))
+    # as a table of its own, so that the join of a fingerprint that many rows share can be split
+    ids = cut(classes.join(linked, "fp", "left").select("fp", F.coalesce("component", "least").alias("component_id")))
     return prints.join(ids, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
