@@ -79,15 +79,16 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int,
     return sorted(map(tuple, rows.limit(8 * per_class).collect()), key=repr)
 
 
-def best_threshold(scores, labels) -> float:
-    """The score midway between two neighbours that parts the labels with the best balanced
-    accuracy; of equals the middle one. 0 where there is one label only."""
+def best_threshold(scores, labels, false_weight: float = 1) -> float:
+    """The score midway between two neighbours that parts the labels best: by the share of true
+    rows above it less `false_weight` times that of the others; of equals the middle one. 0
+    where there is one label only."""
     scores, labels = np.asarray(scores, np.float64), np.asarray(labels, bool)
     if labels.all() or not labels.any():
         return 0.0
     order = np.argsort(scores, kind="stable")
     s, y = scores[order], labels[order]
-    gain = np.where(y, -1 / y.sum(), 1 / (~y).sum()).cumsum()[:-1]
+    gain = np.where(y, -1 / y.sum(), false_weight / (~y).sum()).cumsum()[:-1]
     gain[s[1:] == s[:-1]] = -np.inf
     if not np.isfinite(gain).any():
         return float(s[0])

@@ -2,8 +2,9 @@
 
 Hashed embeddings of words and of their beginnings, filters over one, two and three words, the
 maximum of each filter over the whole text, and a logistic layer. The first number of an
-embedding starts as how far the word or beginning parts the labels; training goes on from there. The threshold of a language, found on rows set aside, is
-moved to one half. The language is that which the text itself is identified as.
+embedding starts as how far the word or beginning parts the labels; training goes on from
+there. The threshold of a language, found on rows set aside, is moved to one half. The language
+is that which the text itself is identified as.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ THRESHOLD = 0.5
 WORDS, EMBEDDING, WIDTHS, FILTERS = 1 << 14, 12, (1, 2, 3), 12
 #: Training rows of each label, and the fewest of either label that a language's threshold needs.
 SAMPLE, LEAST = 2000, 15
+#: A share of the clean texts that is called toxic weighs as much as this many of the toxic ones missed.
+CLEAN = 4
 #: Words that are convolved at once, so that memory is that of a part of a very long text.
 CHUNK = 1 << 15
 
@@ -176,11 +179,11 @@ def fit(rows: list[tuple[int, str | None]], epochs: int = 4, seed: int = 11) ->
 def calibrate(net: Network, rows: list[tuple[int, str | None]], langs: list[str]) -> None:
     """Finds the threshold over all rows and that of each language with rows enough."""
     raw, y = np.array([net.raw(t) for _, t in rows]), np.array([r[0] for r in rows])
-    net.cut = best_threshold(raw, y)
+    net.cut = best_threshold(raw, y, CLEAN)
     for lang in sorted(set(langs)):
         own = np.array([v == lang for v in langs])
         if min(y[own].sum(), (1 - y[own]).sum()) >= LEAST:
-            net.cuts[lang] = best_threshold(raw[own], y[own])
+            net.cuts[lang] = best_threshold(raw[own], y[own], CLEAN)
 
 
 @dataclass
