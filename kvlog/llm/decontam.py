@@ -1,8 +1,8 @@
 """Benchmark decontamination by SimHash over item-sized windows.
 
 Texts are words, lower-cased; a shingle is five words. A window holds as many words as an item.
-Windows without a single shingle of the benchmark cannot be similar to any item, so only those
-around shared shingles are fingerprinted. Eight byte blocks index the items: of two fingerprints
+A window can only be similar to an item if it shares enough shingles with it, so only windows
+with that many shingles of items of their size are fingerprinted. Eight byte blocks index the items: of two fingerprints
 at most RADIUS bits apart, one block differs in at most two bits, so looking each block up with
 up to two bits flipped finds all items within the radius. Candidates are verified by the exact
 similarity of weighted shingles, each weighted by how often it occurs.
@@ -10,6 +10,7 @@ similarity of weighted shingles, each weighted by how often it occurs.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -69,6 +70,11 @@ def _packed(sums: np.ndarray) -> np.ndarray:
     return np.packbits(sums > 0, axis=1, bitorder="little").view(np.uint64)[:, 0]
 
 
+def _isin(x: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which of x are among the sorted `known`."""
+    return known[np.minimum(np.searchsorted(known, x), len(known) - 1)] == x
+
+
 def similarity(a: Counter, b: Counter) -> float:
     """Weighted Jaccard similarity: least over greatest weights."""
     both = sum(min(n, b[s]) for s, n in a.items() if s in b)
@@ -95,6 +101,7 @@ class Items:
             known.setdefault(width, []).append(s)
             self.sizes.setdefault((width, len(s)), []).append((item_id, _packed(_signs(s).sum(axis=0)[None])[0], Counter(s.tolist())))
         self.known = {w: np.unique(np.concatenate(k)) for w, k in known.items()}
+        self.own = {(w, n): np.unique(np.array([s for i in items for s in i[2]], np.uint64)) for (w, n), items in self.sizes.items()}
         self.hash = np.concatenate([np.zeros(1, np.uint64), _word_hashes(list(self.vocabulary))])
         self.index = {}
         for size, items in self.sizes.items():
@@ -125,43 +132,36 @@ class Items:
         words = words_of(text)
         codes = np.fromiter(map(self.vocabulary.get, words, repeat(0)), np.int64, len(words))
         inside = np.concatenate([[0], np.cumsum(codes > 0)])
-        hits, full = {}, None
+        hits = {}
         for width, known in self.known.items():
             if len(words) >= width:
                 runs = np.flatnonzero(inside[width:] - inside[:-width] == width)
-                if len(runs):
-                    s = np.zeros(len(runs), np.uint64)
-                    for i in range(width):
-                        with np.errstate(over="ignore"):
-                            s = _mix(s * np.uint64(0x9E3779B97F4A7C15) + self.hash[codes[runs + i]])
-                    at = np.minimum(np.searchsorted(known, s), len(known) - 1)
-                    runs = runs[known[at] == s]
-                if len(runs):
-                    hits[width] = runs
+                s = np.zeros(len(runs), np.uint64)
+                for i in range(width if len(runs) else 0):
+                    with np.errstate(over="ignore"):
+                        s = _mix(s * np.uint64(0x9E3779B97F4A7C15) + self.hash[codes[runs + i]])
+                held = _isin(s, known)
+                hits[width] = runs[held], s[held]
         best: dict[int, tuple[float, int, int]] = {}
-        if not hits:
-            return []
-        full = _word_hashes(words)
         for (width, size), items in self.sizes.items():
-            if width not in hits:
-                continue
-            shingles = _shingles(full, width)
-            n = len(shingles)
+            n = len(words) - width + 1
             m = min(size, n)  # a text shorter than the item is one window
-            starts = np.zeros(n - m + 2, np.int64)
-            np.add.at(starts, np.clip(hits[width] - m + 1, 0, n - m + 1), 1)
-            np.add.at(starts, np.minimum(hits[width] + 1, n - m + 1), -1)
-            starts = np.flatnonzero(np.cumsum(starts)[: n - m + 1] > 0)
-            for group in np.split(starts, np.flatnonzero(np.diff(starts) > 4 * m + 64) + 1):
-                if not len(group):
-                    continue
-                low = int(group[0])
-                sums = np.cumsum(np.concatenate([np.zeros((1, 64), np.int32), _signs(np.ascontiguousarray(shingles[low : int(group[-1]) + m]))]), axis=0)
+            least = math.ceil((m + size) * SIMILARITY / (1 + SIMILARITY) - 1e-9)
+            if n < 1 or len(hits[width][0]) < least:
+                continue
+            held = np.zeros(n + 1, np.int64)
+            held[1 + hits[width][0][_isin(hits[width][1], self.own[width, size])]] = 1
+            held = np.cumsum(held)
+            starts = np.flatnonzero(held[m:] - held[: n - m + 1] >= least)
+            for group in np.split(starts, np.flatnonzero(np.diff(starts) > 4 * m + 64) + 1) if len(starts) else []:
+                low, high = int(group[0]), int(group[-1]) + m
+                shingles = _shingles(_word_hashes(words[low : high + width - 1]), width)
+                sums = np.cumsum(np.concatenate([np.zeros((1, 64), np.int32), _signs(shingles)]), axis=0)
                 prints = _packed(sums[group - low + m] - sums[group - low])
                 for w, k in self.candidates((width, size), prints):
                     start = int(group[w])
                     item_id, _, weights = items[k]
-                    sim = similarity(Counter(shingles[start : start + m].tolist()), weights)
+                    sim = similarity(Counter(shingles[start - low : start - low + m].tolist()), weights)
                     if sim >= SIMILARITY and (item_id not in best or (-sim, start) < (-best[item_id][0], best[item_id][1])):
                         best[item_id] = sim, start, m + width - 1
         return [(i, *found) for i, found in sorted(best.items())]
