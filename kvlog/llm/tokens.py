@@ -29,8 +29,6 @@ LONGEST_REMEMBERED = 64
 #: The alternatives of the public pattern, likeliest first: no two of them, but for the last two, begin alike.
 _UNICODE = regex.compile(r""" ?\p{L}+|'(?:s|t|re|ve|m|ll|d)| ?[^\p{White_Space}\p{L}\p{N}]+| ?\p{N}+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+""")
 _ASCII = re.compile(r""" ?[A-Za-z]+|'(?:s|t|re|ve|m|ll|d)| ?[^\sA-Za-z0-9]+| ?[0-9]+|\s+(?!\S)|\s+""", re.ASCII)
-#: A space before more white space; elsewhere each single space begins a pre-token.
-_RUN = re.compile(r" \s")
 
 
 def pre_tokens(text: str) -> list[str]:
@@ -77,22 +75,6 @@ class _Counts(dict):
         return n
 
 
-class _Ids(dict):
-    """Ids, as little-endian 32-bit numbers, of a space and the text up to the next space."""
-
-    def __init__(self, encode):
-        super().__init__()
-        self.encode = encode
-
-    def __missing__(self, chunk):
-        ids = np.array(self.encode(" " + chunk), "<u4").tobytes()
-        if len(chunk) <= LONGEST_REMEMBERED:
-            if len(self) > REMEMBERED:
-                self.clear()
-            self[chunk] = ids
-        return ids
-
-
 class Vocabulary:
     """Counts and encodes texts as the library does by default: strings of special tokens within
     a text are those tokens; nothing is added, truncated or padded. Where the merges of the
@@ -107,11 +89,11 @@ class Vocabulary:
         if made == sorted(made) and len(vocab) == len(made) + 256:
             ranks = {bytes(map(byte_of.__getitem__, t)): i for t, i in vocab.items()}
             by_rank = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-            self.encode_plain, merge = by_rank.encode_ordinary, by_rank._encode_single_piece
+            self.encode_plain, merge = lambda text: by_rank.encode_to_numpy(text, disallowed_special=()), by_rank._encode_single_piece
         else:
             tok = Tokenizer.from_str(model)
             self.encode_plain = merge = lambda text: tok.encode(text, add_special_tokens=False).ids
-        self.counts, self.ids = _Counts(whole, merge), _Ids(self.encode_plain)
+        self.counts = _Counts(whole, merge)
 
     def parts(self, text: str) -> list[str]:
         """Plain and special parts by turns, beginning with a plain one."""
@@ -121,16 +103,10 @@ class Vocabulary:
         parts = self.parts(text)
         return len(parts) // 2 + sum(sum(map(self.counts.__getitem__, pre_tokens(p))) for p in parts[::2])
 
-    def _plain(self, text: str) -> bytes:
-        if _RUN.search(text):
-            return np.array(self.encode_plain(text), "<u4").tobytes()
-        first, *rest = text.split(" ")
-        return np.array(self.encode_plain(first), "<u4").tobytes() + b"".join(map(self.ids.__getitem__, rest))
-
     def encode(self, text: str) -> bytes:
         """The ids of a text as little-endian unsigned 32-bit numbers."""
         parts = self.parts(text)
-        return b"".join(self._plain(p) if k % 2 == 0 else self.special[p].to_bytes(4, "little") for k, p in enumerate(parts))
+        return b"".join(np.asarray(self.encode_plain(p), "<u4").tobytes() if k % 2 == 0 else self.special[p].to_bytes(4, "little") for k, p in enumerate(parts))
 
 
 def load(path: str) -> tuple[str, dict[str, int]]:
