@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pickle
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -69,14 +71,26 @@ def sample_by(df: DataFrame, strata: str, per_stratum: int) -> DataFrame:
     return df.filter(keep).limit(2 * per_stratum * len(counts))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, part: int, per_class: int, columns: tuple[str, ...] = ("text",)) -> list[tuple]:
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, part: int, per_class: int, columns: tuple[str, ...] = ("text",)) -> DataFrame:
     """(label, *columns) of a bounded sample of labelled documents outside the held-out part, and
-    the same rows in the same order each time. Labels other than 0 and 1 are none."""
+    the same rows each time. Labels other than 0 and 1 are none."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("_label"))
     known = known.filter(F.col("_label").isin(0, 1) & ~held_out(F.col("doc_id"), folds, part))
     sample = sample_by(known, "_label", per_class)  # 4 * per_class narrow rows at most: small enough to send to all
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *columns).join(F.broadcast(sample), "doc_id").select("_label", *columns)
-    return sorted(map(tuple, rows.limit(8 * per_class).collect()), key=repr)
+    return rows.limit(8 * per_class)
+
+
+def fitted(sample: DataFrame, fit: Callable[[list[tuple]], object]):
+    """What `fit` makes of the rows of a bounded sample, in an order that does not depend on their
+    place: in one task, so that the driver holds the result alone."""
+
+    def run(batches):
+        rows = [r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+        yield pa.RecordBatch.from_pydict({"made": pa.array([pickle.dumps(fit(sorted(rows, key=repr)))], pa.binary())})
+
+    made = sample.repartition(1).mapInArrow(run, "made binary").collect()
+    return pickle.loads(made[0][0]) if made else fit([])
 
 
 def best_threshold(scores, labels, false_weight: float = 1) -> float:

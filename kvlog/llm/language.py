@@ -15,7 +15,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, sample_by, small_batches, table
+from .common import fitted, held_out, sample_by, small_batches, table
 
 FOLDS, HELD_OUT = 5, 0
 #: Buckets of hashed n-grams of each order, the orders in bytes, and training rows a language.
@@ -114,9 +114,12 @@ def train(docs: DataFrame, per_language: int = SAMPLE) -> Model | None:
     each language, twice as many in all at most, chosen by the hash of the id. None where no
     row has a text, an id and a language."""
     rows = docs.filter("text is not null and length(text) > 0").select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    sample = sorted((r["lang"], r["text"]) for r in sample_by(rows, "lang", per_language).select("lang", "text").collect())
-    sample = [r for r in sample if _LETTER.search(r[1])]
-    return fit([t for _, t in sample], [v for v, _ in sample]) if sample else None
+
+    def learn(sample: list[tuple[str, str]]) -> Model | None:
+        sample = sorted(r for r in sample if _LETTER.search(r[1]))
+        return fit([t for _, t in sample], [v for v, _ in sample]) if sample else None
+
+    return fitted(sample_by(rows, "lang", per_language).select("lang", "text"), learn)
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:

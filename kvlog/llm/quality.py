@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import best_threshold, held_out, labelled_sample, small_batches, table
+from .common import best_threshold, fitted, held_out, labelled_sample, small_batches, table
 
 FOLDS, HELD_OUT = 4, 2
 THRESHOLD = 0.7
@@ -125,7 +125,7 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE) -> Machin
     """A machine from about `per_label` rows of each label, twice as many in all at most. None
     where there are no labelled documents."""
     rows = labelled_sample(docs.withColumns({"text": F.col("text").cast("string"), "n_chars": F.col("n_chars").cast("long")}), labels, "quality", FOLDS, HELD_OUT, per_label, ("text", "n_chars"))
-    return fit(rows) if rows else None
+    return fitted(rows, lambda found: fit(found) if found else None)
 
 
 def scored(docs: DataFrame, machine: Machine | None) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import language
-from .common import best_threshold, held_out, keep_where, labelled_sample, small_batches, table
+from .common import best_threshold, fitted, held_out, keep_where, labelled_sample, small_batches, table
 
 FOLDS, HELD_OUT = 5, 0
 THRESHOLD = 0.5
@@ -28,6 +28,8 @@ THRESHOLD = 0.5
 WORDS, EMBEDDING, WIDTHS, FILTERS = 1 << 14, 12, (1, 2, 3), 12
 #: Training rows of each label, and the fewest of either label that a language's threshold needs.
 SAMPLE, LEAST = 2000, 15
+#: Rows that training goes through at least, over and over where there are fewer.
+STEPS = 8000
 #: A share of the clean texts that is called toxic weighs as much as this many of the toxic ones missed.
 CLEAN = 4
 #: Words that are convolved at once, so that memory is that of a part of a very long text.
@@ -105,9 +107,10 @@ def partings(data: list[np.ndarray], y: np.ndarray) -> np.ndarray:
     return np.clip(np.sign(z) * np.maximum(0, np.abs(z) - 3) / 4, -2, 2)[:_PAD]
 
 
-def fit(rows: list[tuple[int, str | None]], epochs: int = 4, seed: int = 11) -> tuple[Network, np.ndarray]:
+def fit(rows: list[tuple[int, str | None]], epochs: int | None = None, seed: int = 11) -> tuple[Network, np.ndarray]:
     """Adam over balanced batches of (label, text); the network as after the pass that did best on
     the rows set aside, and which rows these were."""
+    epochs = max(4, STEPS // max(1, len(rows))) if epochs is None else epochs
     rng = np.random.default_rng(seed)
     data, y = [word_ids(t) for _, t in rows], np.array([r[0] for r in rows], np.float64)
     net = Network(
@@ -202,6 +205,8 @@ class Classifier:
 
     def scores(self, texts: list[str | None]) -> list[float]:
         out = []
+        if not self.network.tables:
+            self.network.prepare()
         for t, lang in zip(texts, self.language_of([t or "" for t in texts]), strict=True):
             x = self.network.raw(t) - self.network.cuts.get(lang, self.network.cut)
             out.append(1 / (1 + math.exp(-max(-500.0, min(500.0, x)))))
@@ -212,14 +217,20 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE) -> Classi
     """A classifier from about `per_label` rows of each label, twice as many in all at most, and
     from the languages of documents outside the held-out part. None without labelled rows."""
     docs = docs.withColumn("text", F.col("text").cast("string"))
-    rows = labelled_sample(docs, labels, "toxic", FOLDS, HELD_OUT, per_label)
-    if not rows:
-        return None
-    net, aside = fit(rows)
-    made = Classifier(net, language.train(docs.filter(~held_out(F.col("doc_id"), FOLDS, HELD_OUT))))
-    check = [r for r, a in zip(rows, aside, strict=True) if a] if len({r[0] for r, a in zip(rows, aside, strict=True) if a}) == 2 else rows
-    calibrate(net, check, made.language_of([t or "" for _, t in check]))
-    return made
+    languages = language.train(docs.filter(~held_out(F.col("doc_id"), FOLDS, HELD_OUT)))
+
+    def learn(rows: list[tuple[int, str | None]]) -> Classifier | None:
+        if not rows:
+            return None
+        net, aside = fit(rows)
+        made = Classifier(net, languages)
+        check = [r for r, a in zip(rows, aside, strict=True) if a]
+        check = check if len({y for y, _ in check}) == 2 else rows
+        calibrate(net, check, made.language_of([t or "" for _, t in check]))
+        net.tables = None  # each task makes them anew
+        return made
+
+    return fitted(labelled_sample(docs, labels, "toxic", FOLDS, HELD_OUT, per_label), learn)
 
 
 def scored(docs: DataFrame, classifier: Classifier | None) -> DataFrame:
