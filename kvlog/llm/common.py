@@ -71,12 +71,16 @@ def sample_by(df: DataFrame, strata: str, per_stratum: int) -> DataFrame:
     return df.filter(keep).limit(2 * per_stratum * len(counts))
 
 
+def labelled(labels: DataFrame, label: str, folds: int, part: int) -> DataFrame:
+    """(doc_id, _label) of the labels outside the held-out part. Labels other than 0 and 1 are none."""
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("_label"))
+    return known.filter(F.col("_label").isin(0, 1) & ~held_out(F.col("doc_id"), folds, part))
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, part: int, per_class: int, columns: tuple[str, ...] = ("text",)) -> DataFrame:
     """(label, *columns) of a bounded sample of labelled documents outside the held-out part, and
-    the same rows each time. Labels other than 0 and 1 are none."""
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("_label"))
-    known = known.filter(F.col("_label").isin(0, 1) & ~held_out(F.col("doc_id"), folds, part))
-    sample = sample_by(known, "_label", per_class)  # 4 * per_class narrow rows at most: small enough to send to all
+    the same rows each time."""
+    sample = sample_by(labelled(labels, label, folds, part), "_label", per_class)  # 4 * per_class narrow rows at most: small enough to send to all
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *columns).join(F.broadcast(sample), "doc_id").select("_label", *columns)
     return rows.limit(8 * per_class)
 
@@ -93,16 +97,17 @@ def fitted(sample: DataFrame, fit: Callable[[list[tuple]], object]):
     return pickle.loads(made[0][0]) if made else fit([])
 
 
-def best_threshold(scores, labels, false_weight: float = 1) -> float:
+def best_threshold(scores, labels, false_weight: float = 1, counts=None) -> float:
     """The score midway between two neighbours that parts the labels best: by the share of true
     rows above it less `false_weight` times that of the others; of equals the middle one. 0
-    where there is one label only."""
+    where there is one label only. A score stands for as many rows as `counts` says, else for one."""
     scores, labels = np.asarray(scores, np.float64), np.asarray(labels, bool)
     if labels.all() or not labels.any():
         return 0.0
+    counts = np.ones(len(scores)) if counts is None else np.asarray(counts, np.float64)
     order = np.argsort(scores, kind="stable")
-    s, y = scores[order], labels[order]
-    gain = np.where(y, -1 / y.sum(), false_weight / (~y).sum()).cumsum()[:-1]
+    s, y, n = scores[order], labels[order], counts[order]
+    gain = (n * np.where(y, -1 / n[y].sum(), false_weight / n[~y].sum())).cumsum()[:-1]
     gain[s[1:] == s[:-1]] = -np.inf
     if not np.isfinite(gain).any():
         return float(s[0])

@@ -3,8 +3,8 @@
 Hashed embeddings of words and of their beginnings, filters over one, two and three words, the
 maximum of each filter over the whole text, and a logistic layer. The first number of an
 embedding starts as how far the word or beginning parts the labels; training goes on from
-there. The threshold of a language, found on rows set aside, is moved to one half. The language
-is that which the text itself is identified as.
+there. The threshold of a language, found on all labelled rows that training has not seen, is
+moved to one half. The language is that which the text itself is identified as.
 """
 
 from __future__ import annotations
@@ -15,12 +15,13 @@ import zlib
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import language
-from .common import best_threshold, fitted, held_out, keep_where, labelled_sample, small_batches, table
+from .common import best_threshold, cut, fitted, held_out, keep_where, labelled, labelled_sample, sample_by, small_batches, table
 
 FOLDS, HELD_OUT = 5, 0
 THRESHOLD = 0.5
@@ -28,6 +29,8 @@ THRESHOLD = 0.5
 WORDS, EMBEDDING, WIDTHS, FILTERS = 1 << 14, 12, (1, 2, 3), 12
 #: Training rows of each label, and the fewest of either label that a language's threshold needs.
 SAMPLE, LEAST = 2000, 15
+#: Parts of a unit that raw scores are counted in for the thresholds, and the largest counted as itself.
+PARTS, LARGEST = 128, 32
 #: Rows that training goes through at least, over and over where there are fewer.
 STEPS = 8000
 #: A share of the clean texts that is called toxic weighs as much as this many of the toxic ones missed.
@@ -179,14 +182,8 @@ def fit(rows: list[tuple[int, str | None]], epochs: int | None = None, seed: int
     return net, aside
 
 
-def calibrate(net: Network, rows: list[tuple[int, str | None]], langs: list[str]) -> None:
-    """Finds the threshold over all rows and that of each language with rows enough."""
-    raw, y = np.array([net.raw(t) for _, t in rows]), np.array([r[0] for r in rows])
-    net.cut = best_threshold(raw, y, CLEAN)
-    for lang in sorted(set(langs)):
-        own = np.array([v == lang for v in langs])
-        if min(y[own].sum(), (1 - y[own]).sum()) >= LEAST:
-            net.cuts[lang] = best_threshold(raw[own], y[own], CLEAN)
+def binned(raw: float) -> int:
+    return round(max(-LARGEST, min(LARGEST, raw)) * PARTS)
 
 
 @dataclass
@@ -204,52 +201,108 @@ class Classifier:
         return found
 
     def scores(self, texts: list[str | None]) -> list[float]:
-        out = []
+        return [self.score(x, lang) for x, lang in zip(*self.raw(texts), strict=True)]
+
+    def raw(self, texts: list[str | None]) -> tuple[list[float], list[str]]:
+        """Scores before any threshold, and the languages."""
         if not self.network.tables:
             self.network.prepare()
-        for t, lang in zip(texts, self.language_of([t or "" for t in texts]), strict=True):
-            x = self.network.raw(t) - self.network.cuts.get(lang, self.network.cut)
-            out.append(1 / (1 + math.exp(-max(-500.0, min(500.0, x)))))
-        return out
+        return [self.network.raw(t) for t in texts], self.language_of([t or "" for t in texts])
 
+    def score(self, raw: float, lang: str) -> float:
+        x = raw - self.network.cuts.get(lang, self.network.cut)
+        return 1 / (1 + math.exp(-max(-500.0, min(500.0, x))))
 
-def train(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE) -> Classifier | None:
-    """A classifier from about `per_label` rows of each label, twice as many in all at most, and
-    from the languages of documents outside the held-out part. None without labelled rows."""
+
+def trained(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE) -> tuple[Classifier, list[tuple]] | None:
+    """A classifier without thresholds from about `per_label` rows of each label, twice as many in
+    all at most, and from the languages of documents outside the held-out part; and (lang, bin,
+    label) of the rows it set aside. None without labelled rows."""
     docs = docs.withColumn("text", F.col("text").cast("string"))
     languages = language.train(docs.filter(~held_out(F.col("doc_id"), FOLDS, HELD_OUT)))
 
-    def learn(rows: list[tuple[int, str | None]]) -> Classifier | None:
+    def learn(rows: list[tuple[int, str | None]]) -> tuple[Classifier, list[tuple]] | None:
         if not rows:
             return None
         net, aside = fit(rows)
         made = Classifier(net, languages)
         check = [r for r, a in zip(rows, aside, strict=True) if a]
         check = check if len({y for y, _ in check}) == 2 else rows
-        calibrate(net, check, made.language_of([t or "" for _, t in check]))
+        raw, langs = made.raw([t for _, t in check])
         net.tables = None  # each task makes them anew
-        return made
+        return made, [(v, binned(x), int(y)) for v, x, (y, _) in zip(langs, raw, check, strict=True)]
 
     return fitted(labelled_sample(docs, labels, "toxic", FOLDS, HELD_OUT, per_label), learn)
 
 
-def scored(docs: DataFrame, classifier: Classifier | None) -> DataFrame:
-    """(doc_id, held_out, score, predicted) for each row of `docs` (doc_id, text).
-
-    A null or wordless text is scored as padding alone; without a classifier all scores are 0.
-    Rows without an id are held out; repeated rows are scored each; no rows give none.
-    """
+def raw_scores(docs: DataFrame, classifier: Classifier | None) -> DataFrame:
+    """(doc_id, held_out, raw, lang) for each row of `docs` (doc_id, text)."""
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(classifier)
 
     def score(batches):
         c = shared.value
         for batch in batches:
-            s = c.scores(batch.column(2).to_pylist()) if c else [0.0] * batch.num_rows
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s, pa.float64()), pa.array([int(x >= THRESHOLD) for x in s], pa.int32())], ["doc_id", "held_out", "score", "predicted"])
+            raw, langs = c.raw(batch.column(2).to_pylist()) if c else ([0.0] * batch.num_rows, [language.UNKNOWN] * batch.num_rows)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(raw, pa.float64()), pa.array(langs, pa.string())], ["doc_id", "held_out", "raw", "lang"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id"), FOLDS, HELD_OUT).alias("held_out"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(score, "doc_id long, held_out boolean, score double, predicted int")
+    return rows.mapInArrow(score, "doc_id long, held_out boolean, raw double, lang string")
+
+
+def calibrate(classifier: Classifier, aside: list[tuple], raws: DataFrame, labels: DataFrame, per_label: int = SAMPLE) -> Classifier:
+    """Finds the threshold over all rows and that of each language with rows enough. The rows are
+    those set aside and, however many there are, the labelled ones of `raws` outside the
+    held-out part and the training sample; they are counted by score, so no language's rows
+    meet in one place and the driver sees a threshold a language."""
+    known = labelled(labels, "toxic", FOLDS, HELD_OUT)
+    rest = known.join(F.broadcast(sample_by(known, "_label", per_label).select("doc_id")), "doc_id", "left_anti")
+    at = F.round(F.greatest(F.lit(-LARGEST), F.least(F.lit(LARGEST), F.col("raw"))) * PARTS).cast("long").alias("bin")
+    rows = raws.join(rest, "doc_id").select("lang", at, F.col("_label").alias("label"))
+    rows = rows.unionByName(raws.sparkSession.createDataFrame(aside, "lang string, bin long, label int"))
+    counts = rows.groupBy("lang", "bin", "label").agg(F.count("*").alias("n"))
+    of = F.explode(F.array(F.col("lang"), F.lit(None).cast("string"))).alias("of")
+
+    def best(key, own: pd.DataFrame) -> pd.DataFrame:
+        n, y = own["n"].to_numpy(), own["label"].to_numpy()
+        enough = pd.isna(key[0]) or min(n[y == 1].sum(), n[y == 0].sum()) >= LEAST
+        cuts = [(None if pd.isna(key[0]) else key[0], best_threshold(own["bin"].to_numpy() / PARTS, y, CLEAN, n))] if enough else []
+        return pd.DataFrame(cuts, columns=["of", "cut"])
+
+    cuts = dict(map(tuple, counts.select(of, "bin", "label", "n").groupBy("of").applyInPandas(best, "of string, cut double").collect()))
+    classifier.network.cut = cuts.pop(None, 0.0)
+    classifier.network.cuts = cuts
+    return classifier
+
+
+def train(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE) -> Classifier | None:
+    """The classifier with its thresholds. None without labelled rows."""
+    made = trained(docs, labels, per_label)
+    if made is None:
+        return None
+    return calibrate(*made, raw_scores(docs.filter(~held_out(F.col("doc_id"), FOLDS, HELD_OUT)), made[0]), labels, per_label)
+
+
+def decided(raws: DataFrame, classifier: Classifier | None) -> DataFrame:
+    """(doc_id, held_out, score, predicted) of raw scores."""
+    shared = raws.sparkSession.sparkContext.broadcast(classifier and Classifier(Network(*[None] * 5, classifier.network.cuts, classifier.network.cut), None))
+
+    def score(batches):
+        c = shared.value
+        for batch in batches:
+            s = [c.score(x, v) for x, v in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)] if c else [0.0] * batch.num_rows
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s, pa.float64()), pa.array([int(x >= THRESHOLD) for x in s], pa.int32())], ["doc_id", "held_out", "score", "predicted"])
+
+    return raws.mapInArrow(score, "doc_id long, held_out boolean, score double, predicted int")
+
+
+def scored(docs: DataFrame, classifier: Classifier | None) -> DataFrame:
+    """(doc_id, held_out, score, predicted) for each row of `docs` (doc_id, text).
+
+    A null or wordless text is scored as padding alone; without a classifier all scores are 0.
+    Rows without an id are held out; repeated rows are scored each; no rows give none.
+    """
+    return decided(raw_scores(docs, classifier), classifier)
 
 
 def without_toxic(docs: DataFrame, classifier: Classifier | None) -> DataFrame:
@@ -264,5 +317,9 @@ def without_toxic(docs: DataFrame, classifier: Classifier | None) -> DataFrame:
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return scored(docs, train(docs, table(spark, sf_dir, "labels")))
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    made = trained(docs, labels)
+    if made is None:
+        return scored(docs, None)
+    raws = cut(raw_scores(docs, made[0]))  # scored once, both for the thresholds and for the result
+    return decided(raws, calibrate(*made, raws, labels))

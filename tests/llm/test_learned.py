@@ -48,6 +48,15 @@ def test_toxicity(spark, tables):
     assert toxicity.train(tables[0].limit(0), tables[1]) is None and toxicity.without_toxic(odd(spark), None).count() == len(ODD)
 
 
+def test_minority_languages_are_calibrated(spark):
+    many = [(i, lang, label, (8.0 if lang == "xx" else 0.0) + (1.0 if label else -1.0)) for i, (lang, label) in enumerate([("en", k % 2) for k in range(2000)] + [("xx", k % 2) for k in range(90)])]
+    raws = spark.createDataFrame([(i, False, raw, lang) for i, lang, _, raw in many], "doc_id long, held_out boolean, raw double, lang string")
+    labels = spark.createDataFrame([(i, label) for i, _, label, _ in many], "doc_id long, toxic int")
+    aside = [("en", toxicity.binned(-1.0 + 2 * (k % 2)), k % 2) for k in range(40)]
+    network = toxicity.calibrate(toxicity.Classifier(toxicity.Network(*[None] * 5), None), aside, raws, labels, 20).network
+    assert -1 < network.cuts["en"] < 1 and 7 < network.cuts["xx"] < 9
+
+
 def test_language(spark, tables):
     model = language.train(tables[0].filter(~common.held_out(F.col("doc_id"), 5, 0)))
     known = tables[0].filter("lang is not null and length(text) > 0").select("doc_id", "lang")
