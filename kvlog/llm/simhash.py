@@ -59,13 +59,15 @@ def _fingerprints(batches):
     for batch in batches:
         texts = batch.column(1).to_pylist()
         fp = np.fromiter(map(fingerprint, texts), np.uint64, len(texts)).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp)], ["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp), *batch.columns[2:]], ["doc_id", "fp", *batch.schema.names[2:]])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp): the fingerprint of each row as a signed long. A null text is empty."""
+def fingerprints(docs: DataFrame, **more: Column) -> DataFrame:
+    """(doc_id, fp, more): the fingerprint of each row as a signed long, and further columns that
+    are longs. A null text is empty."""
     small_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_fingerprints, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *[c.alias(n) for n, c in more.items()])
+    return rows.mapInArrow(_fingerprints, ", ".join(f"{n} long" for n in ("doc_id", "fp", *more)))
 
 
 def _byte(fp: Column, position: int) -> Column:
@@ -120,14 +122,23 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of `docs` whose doc_id is that of its group; of rows that repeat a doc_id one
-    stays. Rows without a doc_id cannot be told apart by it and all stay."""
-    found = cut(near_duplicates(docs))
-    keep = found.filter("doc_id = component_id").select("doc_id")
-    kept = docs.join(keep.distinct(), "doc_id", "left_semi")
-    if not keep.groupBy("doc_id").count().filter("count > 1").isEmpty():
-        kept = kept.dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.filter(F.col("doc_id").isNull())).select(*docs.columns)
+    """One row of each group of near-duplicates: that with the smallest doc_id, one without an id
+    only where no row of the group has one; of rows with that same id, or with none, the least
+    hash of all columns decides. A row is told by that hash of 128 bits, not by its doc_id, so
+    neither null nor repeated ids make a difference; rows that are alike in all columns are one."""
+    row = {"h": F.xxhash64(*docs.columns), "g": F.xxhash64(F.lit(1), *docs.columns)}
+    prints = cut(fingerprints(docs, **row))
+    distinct = prints.groupBy("fp", "doc_id", "h", "g").agg(F.count("*").alias("n"))
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h", "g", "n")
+    classes = cut(distinct.groupBy("fp").agg(F.min(first).alias("first")))
+    roots = components(links(classes.select("fp")), "a", "b").select(F.col("node").alias("fp"), "root")
+    groups = classes.join(roots, "fp", "left").groupBy(F.coalesce("root", "fp").alias("group")).agg(F.min("first").alias("first"))
+    keep = cut(groups.select("first.h", "first.g", "first.n"))
+    kept = docs.withColumns({"_h": row["h"], "_g": row["g"]})
+    kept = kept.join(keep.select(F.col("h").alias("_h"), F.col("g").alias("_g")), ["_h", "_g"], "left_semi")
+    if not keep.filter("n > 1").isEmpty():
+        kept = kept.dropDuplicates(["_h", "_g"])
+    return kept.select(*docs.columns)
 
 
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

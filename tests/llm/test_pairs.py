@@ -74,6 +74,13 @@ def test_near_duplicates_of_nothing_and_null_ids(spark):
     assert sorted((str(r[0]), str(r[2])) for r in found) == [("4", "4"), ("None", "4"), ("None", "None")]
 
 
+def test_one_row_of_each_group_stays_whatever_its_id(spark):
+    one, two, three, four = ("a b c d", "quite other words here", "yet more words of text", "last words in this test")
+    rows = [(None, one), (4, one), (None, one), (None, two), (None, two), (7, three), (7, four), (2, four), (7, four), (9, "x y z"), (9, "p q r"), (9, "p q r")]
+    kept = simhash.drop_near_duplicates(docs(spark, rows)).collect()
+    assert sorted((str(r["doc_id"]), r["text"]) for r in kept) == sorted([("4", one), ("None", two), ("7", three), ("2", four), ("9", "x y z"), ("9", "p q r")])
+
+
 def slow_similar(text, item):
     a, b = decontam.words_of(text), decontam.words_of(item)
     width = min(5, len(b))
