@@ -11,10 +11,12 @@ import hashlib
 import math
 import re
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import small_batches, table
 
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -92,6 +94,57 @@ def ratios(random: list[str], ordinary: list[str]) -> list[int]:
 
 
 TABLE = ratios(*labelled_samples())
+_CODES = np.zeros(128, np.int64)
+_CODES[list(LETTERS.encode())] = range(len(LETTERS))
+_RUN, _PIECE = re.compile(RUN), "/_-"
+
+
+def random_parts(run: str) -> list[tuple[int, int]]:
+    """The parts of a run, of SHORTEST letters or more, that the models call random: the whole run,
+    or else the part whose ratios exceed LEAST a pair by most, widened to the separators around
+    it, and the same again on both sides of it."""
+    out, todo = [], [(0, len(run))]
+    codes = _CODES[np.frombuffer(run.encode("ascii"), np.uint8)]
+    over = np.concatenate([[0], np.cumsum(np.array(TABLE)[codes[:-1] * len(LETTERS) + codes[1:]] - LEAST)])
+    if over[-1] > 0:
+        return [(0, len(run))] if len(run) >= SHORTEST else []
+    while todo:
+        low, high = todo.pop()
+        if high - low < SHORTEST:
+            continue
+        own = over[low:high]
+        begin = np.minimum.accumulate(own[: len(own) - SHORTEST + 1])
+        gain = own[SHORTEST - 1 :] - begin
+        last = int(gain.argmax())
+        if gain[last] <= 0:
+            continue
+        first = low + int(own[: last + 1].argmin())
+        end = low + last + SHORTEST
+        while first > low and run[first - 1] not in _PIECE:
+            first -= 1
+        while end < high and run[end] not in _PIECE:
+            end += 1
+        out.append((first, end))
+        todo += [(low, first), (end, high)]
+    return sorted(out)
+
+
+def random_spans(text: str, base: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """What the models find in the parts of the runs of `text` that lie outside the sorted base spans."""
+    out, k = [], 0
+    for m in _RUN.finditer(text):
+        at = m.start()
+        while k < len(base) and base[k][1] <= at:
+            k += 1
+        inside, j = [], k
+        while j < len(base) and base[j][0] < m.end():
+            inside.append(base[j])
+            j += 1
+        for start, end in [*inside, (m.end(), m.end())]:
+            if start - at >= SHORTEST:
+                out += [(at + a, at + b) for a, b in random_parts(text[at:start])]
+            at = max(at, end)
+    return out
 
 
 def _sum(numbers: Column) -> Column:
@@ -123,8 +176,8 @@ def _spans(text: Column, pattern: str, kind: int, good) -> Column:
     return F.when(text.rlike(pattern), found).otherwise(F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>"))
 
 
-def with_spans(docs: DataFrame, text: str = "text") -> DataFrame:
-    """`docs` with columns _text (null as empty), _base and _all: spans (start, kind, end)."""
+def with_base(docs: DataFrame, text: str = "text") -> DataFrame:
+    """`docs` with columns _text (null as empty) and _base: spans (start, kind, end)."""
     docs = docs.withColumn("_text", F.coalesce(F.col(text).cast("string"), F.lit("")))
     t = F.col("_text")
     longer = lambda n: lambda hits: F.transform(hits, lambda h: F.length(h) >= n)
@@ -132,7 +185,12 @@ def with_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     # shorter runs fail and take up nothing that a longer one needs, so they are not matched at all
     access = _spans(t, ACCESS.replace("+", "{14,}"), 1, longer(18))
     hexes = _spans(t, HEX.replace("+", "{16,}"), 2, longer(16))
-    docs = docs.withColumn("_base", F.array_sort(F.concat(assign, access, hexes)))
+    return docs.withColumn("_base", F.array_sort(F.concat(assign, access, hexes)))
+
+
+def with_spans(docs: DataFrame, text: str = "text") -> DataFrame:
+    """`docs` with columns _text, _base and _all: spans (start, kind, end)."""
+    docs, t = with_base(docs, text), F.col("_text")
     runs = _spans(t, RUN, 3, lambda hits: F.transform(hits, _is_random))
     docs = docs.withColumn("_runs", runs)
     apart = F.filter("_runs", lambda m: ~F.exists("_base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
@@ -158,22 +216,47 @@ def secret_spans(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", n(0).alias("n_assign"), n(1).alias("n_access"), n(2).alias("n_hex"), F.sha2(_joined("_base").cast("binary"), 256).alias("base_sha256"), _joined("_all").alias("spans"), n(3).alias("n_markov"))
 
 
+def masked(text: str, base: list[tuple[int, int]], mask: str) -> str:
+    """The text with each stretch of base spans and of what the models find beside them replaced."""
+    out, at = [], 0
+    merged = []
+    for a, b in sorted(base):
+        if merged and a < merged[-1][1]:
+            merged[-1] = merged[-1][0], max(b, merged[-1][1])
+        else:
+            merged.append((a, b))
+    for a, b in sorted([*merged, *random_spans(text, merged)]):
+        out += [text[at:a], mask]
+        at = b
+    return "".join([*out, text[at:]])
+
+
 def redacted(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
-    """`docs` with each stretch of secret spans in `text` replaced by `mask` and n_chars, where
-    there is one, set to the new length. Texts without secrets stay as they are, null too."""
-    columns, found = docs.columns, with_spans(docs)
-    t, kinds = F.col("_text"), "struct<at:bigint,out:array<string>>"
-
-    def step(acc, s):
-        fresh = s["start"] >= acc["at"]
-        piece = F.concat(F.substring(t, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), F.lit(mask))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh, F.array_append(acc["out"], piece)).otherwise(acc["out"]).alias("out")).cast(kinds)
-
-    none = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out")).cast(kinds)
-    whole = F.aggregate("_all", none, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(t, (acc["at"] + 1).cast("int"), F.length(t))))
-    found = found.withColumn("text", F.when(F.size("_all") > 0, whole).otherwise(F.col("text")))
+    """`docs` with each stretch of secrets in `text` replaced by `mask` and n_chars, where there is
+    one, set to the new length. Secrets are the base spans and what the models find in the rest
+    of a run or in a part of it (`random_parts`): all that secret_spans reports, and more. Texts
+    without secrets stay as they are, null too."""
+    columns, found = docs.columns, with_base(docs)
+    small_batches(docs.sparkSession)
+    spans = F.when(F.size("_base") > 0, F.transform("_base", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
+    found = found.select(*columns, spans.alias("_base"))
+    at, names = columns.index("text"), [*columns, "_changed"]
+    schema = ", ".join([*(f"`{f.name}` {'string' if f.name == 'text' else f.dataType.simpleString()}" for f in docs.schema), "_changed boolean"])
+
+    def run(batches):
+        for batch in batches:
+            old, new, changed = batch.column(at).cast(pa.string()).to_pylist(), [], []
+            for text, base in zip(old, batch.column(len(columns)).to_pylist(), strict=True):
+                clean = masked(text, [(s["start"], s["end"]) for s in base or []], mask) if text else text
+                new.append(clean)
+                changed.append(clean != text)
+            held = batch.columns[:-1]
+            held[at] = pa.array(new, pa.string())
+            yield pa.RecordBatch.from_arrays([*held, pa.array(changed, pa.bool_())], names)
+
+    found = found.mapInArrow(run, schema)
     if "n_chars" in columns:
-        found = found.withColumn("n_chars", F.when(F.size("_all") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+        found = found.withColumn("n_chars", F.when(F.col("_changed"), F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return found.select(*columns)
 
 
