@@ -58,17 +58,13 @@ def held_out(doc_id: Column, parts: int, part: int) -> Column:
 
 def sample_by(df: DataFrame, strata: str, per_stratum: int) -> DataFrame:
     """About `per_stratum` rows of each stratum, twice that at most over all, chosen by the
-    hash of `doc_id`: the same rows in each run and after each loss of an executor."""
+    hash of `doc_id`: the same rows in each run and after each loss of an executor. However many
+    strata there are, none is left out."""
     df = df.filter(F.col(strata).isNotNull() & F.col("doc_id").isNotNull())
-    counts = {r[0]: r[1] for r in df.groupBy(strata).count().orderBy(F.desc("count"), strata).limit(200).collect()}
-    if not counts:
-        return df.limit(0)
     span = 1 << 30
-    keep = F.lit(False)
-    for value, count in counts.items():
-        bound = min(span, -(-span * per_stratum // count))
-        keep = keep | ((F.col(strata) == F.lit(value)) & (F.pmod(F.xxhash64("doc_id"), F.lit(span)) < F.lit(bound)))
-    return df.filter(keep).limit(2 * per_stratum * len(counts))
+    rates = cut(df.groupBy(strata).count().select(strata, F.expr(f"least({span}, ({span * per_stratum} + count - 1) div count)").alias("_bound")))
+    rows = df.join(F.broadcast(rates), strata).filter(F.pmod(F.xxhash64("doc_id"), F.lit(span)) < F.col("_bound")).select(*df.columns)
+    return rows.limit(2 * per_stratum * rates.count())
 
 
 def labelled(labels: DataFrame, label: str, folds: int, part: int) -> DataFrame:

@@ -83,28 +83,37 @@ class Model:
 
 
 def fit(texts: list[str], langs: list[str], epochs: int = 30, seed: int = 5) -> Model:
-    """Logistic regressions by Adam; a fifth of the rows is set aside to weigh the bits."""
+    """Logistic regressions by Adam; a fifth of the rows is set aside to weigh the bits. Features are
+    held sparse, since the rows grow with the number of languages."""
     names = sorted(set(langs))
     y, code = np.array([names.index(v) for v in langs]), codewords(len(names))
-    x = np.stack([features(t) for t in texts])
+    sparse = [(k, f[k]) for f in map(features, texts) for k in [np.flatnonzero(f).astype(np.uint16)]]
+
+    def dense(rows: np.ndarray) -> np.ndarray:
+        x = np.zeros((len(rows), BUCKETS * len(ORDERS)), np.float32)
+        for own, r in zip(x, rows.tolist(), strict=True):
+            own[sparse[r][0]] = sparse[r][1]
+        return x
+
     rng = np.random.default_rng(seed)
-    order = rng.permutation(len(x))
-    aside, train = order[: len(x) // 5], order[len(x) // 5 :]
-    w, b = np.zeros((x.shape[1], code.shape[1]), np.float32), np.zeros(code.shape[1], np.float32)
+    order = rng.permutation(len(texts))
+    aside, train = order[: len(texts) // 5], order[len(texts) // 5 :]
+    w, b = np.zeros((BUCKETS * len(ORDERS), code.shape[1]), np.float32), np.zeros(code.shape[1], np.float32)
     m, v, mb, vb, t = np.zeros_like(w), np.zeros_like(w), np.zeros_like(b), np.zeros_like(b), 0
     share = np.bincount(y, minlength=len(names))
     balance = (len(y) / len(names) / np.maximum(1, share))[y].astype(np.float32)[:, None]
     for _ in range(epochs):
         for at in range(0, len(train), 64):
             k = train[at : at + 64]
-            signs = code[y[k]]
-            g = -signs / (1 + np.exp(signs * (x[k] @ w + b))) * balance[k] / len(k)
-            gw, gb, t = x[k].T @ g + 1e-5 * w, g.sum(axis=0), t + 1
+            signs, x = code[y[k]], dense(k)
+            g = -signs / (1 + np.exp(signs * (x @ w + b))) * balance[k] / len(k)
+            gw, gb, t = x.T @ g + 1e-5 * w, g.sum(axis=0), t + 1
             m, v, mb, vb = 0.9 * m + 0.1 * gw, 0.999 * v + 0.001 * gw * gw, 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
             rate = 0.1 * np.sqrt(1 - 0.999**t) / (1 - 0.9**t)
             w, b = w - rate * m / (np.sqrt(v) + 1e-8), b - rate * mb / (np.sqrt(vb) + 1e-8)
     check = aside if len(aside) else train
-    right = ((x[check] @ w + b) * code[y[check]] > 0).mean(axis=0) if len(check) else np.ones(len(b))
+    parts = [check[at : at + 1024] for at in range(0, len(check), 1024)]
+    right = sum(((dense(k) @ w + b) * code[y[k]] > 0).sum(axis=0) for k in parts) / len(check) if len(check) else np.ones(len(b))
     trust = np.maximum(0.05, 2 * right - 1)
     return Model(names, code, w, b, (trust / trust.sum() * min(4.0, len(trust))).astype(np.float32))
 

@@ -68,6 +68,14 @@ def test_language(spark, tables):
     assert {r["lang_pred"] for r in language.predict(odd(spark), None).collect()} == {"und"}
 
 
+def test_no_language_is_left_out(spark):
+    rows = spark.range(1050).selectExpr("id as doc_id", "concat('text ', id) as text", "concat('l', id % 250) as lang")
+    found = {r["lang"]: r["count"] for r in common.sample_by(rows, "lang", 3).groupBy("lang").count().collect()}
+    assert len(found) > 225  # a stratum of 4 or 5 rows may by chance have none below its bound
+    every = common.sample_by(rows, "lang", 5)
+    assert every.select("lang").distinct().count() == 250 and every.count() == 1050
+
+
 def test_factorisation_identity():
     rng = random.Random(1)
     machine = quality.fit([(k % 2, " ".join(rng.choice(["good", "fine"] if k % 2 else ["bad", "poor"]) for _ in range(9)), 9) for k in range(40)], epochs=2)
