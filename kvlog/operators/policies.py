@@ -120,10 +120,11 @@ class Simulator:
         return evicted
 
 
-def replay_policies(log: DataFrame, configurations: list[tuple[str, int]], fill: bool = False, lower_to: int | None = None, seed: int = 1) -> DataFrame:
+def replay_policies(log: DataFrame, configurations: list[tuple[str, int]], fill: bool = False, lower_to: int | None = None, seed: int = 1, warm: int = 0) -> DataFrame:
     """(policy, ceiling, hits, misses, evictions, rejected, usage, physical) of the whole log under
     each configuration. With `fill` a read that misses writes its key. With `lower_to` the
-    ceiling falls to that after half of the rows."""
+    ceiling falls to that after half of the rows. Hits and misses are those after the first
+    `warm` rows; the rest is of the whole log."""
 
     def run(key, rows: pd.DataFrame) -> pd.DataFrame:
         policy, ceiling = key
@@ -132,6 +133,8 @@ def replay_policies(log: DataFrame, configurations: list[tuple[str, int]], fill:
         columns = (rows[c].tolist() for c in ("op", "key", "ts_us", "value_len", "ttl_us"))
         half = len(rows) // 2
         for i, (op, k, now, size, ttl) in enumerate(zip(*columns, strict=True)):
+            if i == warm:
+                sim.hits = sim.misses = 0
             if lower_to is not None and i == half:
                 sim.set_ceiling(lower_to)
             if op in ("GET", "EXISTS"):
@@ -149,6 +152,23 @@ def replay_policies(log: DataFrame, configurations: list[tuple[str, int]], fill:
     return rows.groupBy("policy", "ceiling").applyInPandas(run, "policy string, ceiling long, hits long, misses long, evictions long, rejected long, usage long, physical long")
 
 
+def replay_lru(trace: DataFrame, capacity: int, entry: int, warm: int = 0) -> DataFrame:
+    """The row of `replay_policies` for naive LRU of `capacity` entries of `entry` bytes each."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        cache, hits, total = NaiveLru(capacity), 0, 0
+        keys = rows.sort_values("seq")["key"].tolist()
+        for i, k in enumerate(keys):
+            hit = cache.access(k)
+            total += not hit
+            hits += hit and i >= warm
+        held = len(cache.keys)
+        return pd.DataFrame([("naive-lru", capacity * entry, hits, max(0, len(keys) - warm) - hits, total - held, 0, held * entry, held)], columns=names)
+
+    names = ["policy", "ceiling", "hits", "misses", "evictions", "rejected", "usage", "physical"]
+    return trace.select("seq", "key", F.lit(0).alias("trace")).groupBy("trace").applyInPandas(run, "policy string, ceiling long, hits long, misses long, evictions long, rejected long, usage long, physical long")
+
+
 def reuse_distances(trace: DataFrame) -> DataFrame:
     """(seq, key, distance): how many other keys were accessed since the key's last access, null
     for the first. One pass answers every capacity: exact LRU of c entries hits if distance < c."""

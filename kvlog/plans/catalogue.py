@@ -337,7 +337,7 @@ _simulated("sim_lower_ceiling", [("allkeys-lfu", 16384)], lower_to=4096)
 _simulated("sim_policy_compare", [(p, c) for p in policies.POLICIES for c in (4096, 8192, 0)], fill=True)
 
 
-def zipf(spark: SparkSession, n: int = 20000, keys: int = 2000, s: float = 1.3) -> DataFrame:
+def zipf(spark: SparkSession, n: int = 300000, keys: int = 10000, s: float = 1.3) -> DataFrame:
     """(seq, key): ranks by the inverse of the distribution function at a hash of seq."""
     weights = [(k + 1) ** -s for k in range(keys)]
     total, edges, run = sum(weights), [], 0.0
@@ -352,9 +352,14 @@ def zipf(spark: SparkSession, n: int = 20000, keys: int = 2000, s: float = 1.3)
 QUERIES["zipf_trace"] = lambda spark, sf_dir: zipf(spark)
 
 
+#: Accesses of the trace before the measured ones, and the entries that a cache holds.
+ZIPF_WARM, ZIPF_CAPACITY = 50000, 100
+
+
 def _zipf_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     trace = zipf(spark).select("seq", F.lit("GET").alias("op"), "key", F.lit(0).cast("long").alias("ts_us"), F.lit(32).cast("long").alias("value_len"), F.lit(None).cast("long").alias("ttl_us"))
-    return policies.replay_policies(trace, [(p, 100 * 133) for p in policies.POLICIES[1:]], fill=True)
+    engine = policies.replay_policies(trace, [(p, ZIPF_CAPACITY * 133) for p in policies.POLICIES[1:]], fill=True, warm=ZIPF_WARM)
+    return engine.unionByName(policies.replay_lru(trace, ZIPF_CAPACITY, 133, warm=ZIPF_WARM))
 
 
 QUERIES["zipf_policy_compare"] = _zipf_compare
