@@ -102,6 +102,15 @@ def parse_hit_ratio(files: DataFrame) -> DataFrame:
     return files.select("file", "content").mapInArrow(run, "file string, hit_ratio double, ops double, p50 double, p99 double, p999 double, error string")
 
 
+def median_hit_run(runs: DataFrame) -> DataFrame:
+    """(experiment, run_id): of `runs` (experiment, run_id, hits, misses) the run whose hit ratio is
+    nearest the median of its experiment, of equals the earliest. A run without reads has ratio 0."""
+    reads = F.col("hits") + F.col("misses")
+    rated = runs.select("experiment", "run_id", F.when(reads > 0, F.col("hits").cast("double") / reads).otherwise(F.lit(0.0)).alias("ratio"))
+    mid = rated.groupBy("experiment").agg(F.median("ratio").alias("mid"))
+    return rated.join(mid, "experiment").groupBy("experiment").agg(F.min_by("run_id", F.struct(F.abs(F.col("ratio") - F.col("mid")), F.col("run_id"))).alias("run_id"))
+
+
 def cpu_list(text: Column) -> Column:
     """The numbers of a list such as 0,2,4-7, each once, ascending."""
     parts = F.filter(F.transform(F.split(text, ","), lambda p: F.trim(p)), lambda p: p != "")

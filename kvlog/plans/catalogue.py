@@ -437,6 +437,15 @@ def bench_median_hit_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rig.join(mid, "experiment").groupBy("experiment").agg(F.min_by("run_id", F.struct(F.abs(F.col("ops") - F.col("mid")), F.col("run_id"))).alias("run_id"))
 
 
+RATED = "SELECT experiment, run_id, CASE WHEN hits + misses > 0 THEN CAST(hits AS DOUBLE) / (hits + misses) ELSE 0 END AS ratio FROM rig"
+
+
+@query("bench_median_hit_ratio_run", f"""SELECT experiment, run_id FROM (SELECT r.experiment, r.run_id, row_number() OVER (PARTITION BY r.experiment ORDER BY abs(r.ratio - m.mid), r.run_id) AS place
+  FROM ({RATED}) r JOIN (SELECT experiment, median(ratio) AS mid FROM ({RATED}) t GROUP BY experiment) m ON m.experiment = r.experiment) t WHERE place = 1""")
+def bench_median_hit_ratio_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return benchstats.median_hit_run(_rig(spark, sf_dir))
+
+
 def _rig(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(for_spark(RIG).replace("FROM events", "FROM {events}"), events=spark.read.parquet(f"{sf_dir}/events.parquet"))
 
