@@ -15,7 +15,7 @@ from kvlog.llm.common import fresh_dir, table
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
-    return toxicity.without_toxic(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+    return toxicity.without_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

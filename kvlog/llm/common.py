@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import pickle
 import tempfile
 import uuid
@@ -9,7 +10,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows of one Arrow batch: a few very long texts at most are in a Python worker at once.
@@ -26,10 +27,13 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where it is unset (tests), one of this machine."""
+    """The folder of spark.checkpoint.dir. Where it is unset, a folder of this machine serves a local
+    session; on a cluster that is an error, as no other machine would see it."""
     sc = spark.sparkContext
     folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not folder:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
         folder = tempfile.mkdtemp(prefix="kvlog-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(folder)
@@ -57,14 +61,17 @@ def held_out(doc_id: Column, parts: int, part: int) -> Column:
 
 
 def sample_by(df: DataFrame, strata: str, per_stratum: int) -> DataFrame:
-    """About `per_stratum` rows of each stratum, twice that at most over all, chosen by the
-    hash of `doc_id`: the same rows in each run and after each loss of an executor. However many
-    strata there are, none is left out."""
+    """The `per_stratum` rows of each stratum with the least hash of `doc_id`, of a smaller stratum
+    all: the same rows in each run and after each loss of an executor. No stratum is left out,
+    however many there are. The hash bound, from the counts, lets few more rows reach the ranking
+    (four standard deviations, so that one in thirty thousand samples is a row or so short), and
+    a stratum that holds most of the corpus is no task's work."""
     df = df.filter(F.col(strata).isNotNull() & F.col("doc_id").isNotNull())
-    span = 1 << 30
-    rates = cut(df.groupBy(strata).count().select(strata, F.expr(f"least({span}, ({span * per_stratum} + count - 1) div count)").alias("_bound")))
-    rows = df.join(F.broadcast(rates), strata).filter(F.pmod(F.xxhash64("doc_id"), F.lit(span)) < F.col("_bound")).select(*df.columns)
-    return rows.limit(2 * per_stratum * rates.count())
+    span, h = 1 << 30, F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
+    rates = df.groupBy(strata).count().select(strata, F.expr(f"least({span}, ({span} * {per_stratum + 4 * math.isqrt(per_stratum) + 8}L + count - 1) div count)").alias("_bound"))
+    rows = df.join(F.broadcast(rates), strata).filter(h < F.col("_bound"))
+    order = Window.partitionBy(strata).orderBy(h, *[F.col(c) for c in df.columns])
+    return rows.withColumn("_place", F.row_number().over(order)).filter(F.col("_place") <= per_stratum).select(*df.columns)
 
 
 def labelled(labels: DataFrame, label: str, folds: int, part: int) -> DataFrame:
@@ -73,12 +80,14 @@ def labelled(labels: DataFrame, label: str, folds: int, part: int) -> DataFrame:
     return known.filter(F.col("_label").isin(0, 1) & ~held_out(F.col("doc_id"), folds, part))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, part: int, per_class: int, columns: tuple[str, ...] = ("text",)) -> DataFrame:
-    """(label, *columns) of a bounded sample of labelled documents outside the held-out part, and
-    the same rows each time."""
-    sample = sample_by(labelled(labels, label, folds, part), "_label", per_class)  # 4 * per_class narrow rows at most: small enough to send to all
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *columns).join(F.broadcast(sample), "doc_id").select("_label", *columns)
-    return rows.limit(8 * per_class)
+def labelled_sample(docs: DataFrame, known: DataFrame, per_class: int, columns: tuple[str, ...] = ("text",)) -> DataFrame:
+    """(_label, *columns) of the sample of `known` (doc_id, _label), `per_class` rows of each label:
+    narrow rows of a bounded number, which are sent to all. Of documents that share an id, the
+    one with the least hash of its columns is taken, so that copies do not widen the sample."""
+    sample = sample_by(known, "_label", per_class)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *columns).join(F.broadcast(sample), "doc_id")
+    order = Window.partitionBy("doc_id", "_label").orderBy(F.xxhash64(*columns))
+    return rows.withColumn("_place", F.row_number().over(order)).filter("_place = 1").select("_label", *columns)
 
 
 def fitted(sample: DataFrame, fit: Callable[[list[tuple]], object]):
@@ -112,6 +121,21 @@ def best_threshold(scores, labels, false_weight: float = 1, counts=None) -> floa
     return float((s[k] + s[k + 1]) / 2)
 
 
+def unused(columns: list[str], name: str) -> str:
+    """`name`, or the first longer one that no column has in any case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """The frame as a table in the shared folder: a lineage cut for wide rows."""
+    folder = fresh_dir(df.sparkSession, label)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def keep_where(docs: DataFrame, decide) -> DataFrame:
     """The rows of `docs`, whole and in place, whose text `decide` keeps. `decide()` is called
     in each task and gives a function from a list of texts, null ones too, to a list of booleans."""

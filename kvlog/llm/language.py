@@ -119,9 +119,9 @@ def fit(texts: list[str], langs: list[str], epochs: int = 30, seed: int = 5) ->
 
 
 def train(docs: DataFrame, per_language: int = SAMPLE) -> Model | None:
-    """A model of `docs` (doc_id, text, lang), from a bounded sample: about `per_language` rows of
-    each language, twice as many in all at most, chosen by the hash of the id. None where no
-    row has a text, an id and a language."""
+    """A model of `docs` (doc_id, text, lang), from a bounded sample: `per_language` rows of each
+    language at most, chosen by the hash of the id. None where no row has a text, an id and a
+    language."""
     rows = docs.filter("text is not null and length(text) > 0").select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
 
     def learn(sample: list[tuple[str, str]]) -> Model | None:

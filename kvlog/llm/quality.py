@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import best_threshold, fitted, held_out, labelled_sample, small_batches, table
+from .common import best_threshold, fitted, held_out, labelled, labelled_sample, small_batches, table
 
 FOLDS, HELD_OUT = 4, 2
 THRESHOLD = 0.7
@@ -122,9 +122,8 @@ def fit(rows: list[tuple[int, str | None, int | None]], epochs: int = 12, seed:
 
 
 def train(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE) -> Machine | None:
-    """A machine from about `per_label` rows of each label, twice as many in all at most. None
-    where there are no labelled documents."""
-    rows = labelled_sample(docs.withColumns({"text": F.col("text").cast("string"), "n_chars": F.col("n_chars").cast("long")}), labels, "quality", FOLDS, HELD_OUT, per_label, ("text", "n_chars"))
+    """A machine from `per_label` rows of each label at most. None without labelled documents."""
+    rows = labelled_sample(docs.withColumns({"text": F.col("text").cast("string"), "n_chars": F.col("n_chars").cast("long")}), labelled(labels, "quality", FOLDS, HELD_OUT), per_label, ("text", "n_chars"))
     return fitted(rows, lambda found: fit(found) if found else None)
 
 

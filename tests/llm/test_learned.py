@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -37,24 +38,77 @@ def test_quality(spark, tables):
 
 
 def test_toxicity(spark, tables):
-    classifier = toxicity.train(*tables)
-    scored = toxicity.scored(tables[0], classifier)
+    scored = toxicity.scored(*tables)
     right, auc = accuracy(scored, tables[1], "toxic")
-    assert right > 0.9 and auc > 0.65
-    rows = toxicity.scored(odd(spark), classifier).collect()
-    assert len(rows) == len(ODD) and all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in rows)
-    kept = toxicity.without_toxic(tables[0], classifier)
+    assert right > 0.85 and auc > 0.9
+    kept = toxicity.without_toxic(*tables)
     assert kept.columns == tables[0].columns and kept.count() == scored.filter("predicted = 0").count()
-    assert toxicity.train(tables[0].limit(0), tables[1]) is None and toxicity.without_toxic(odd(spark), None).count() == len(ODD)
+
+
+def test_toxicity_of_odd_rows(spark):
+    texts = [("fine words here", 0), ("good words there", 0), ("you foul thing", 1), ("so foul indeed", 1)]
+    known = [(100 + i, *texts[i % 4]) for i in range(400)]
+    rows = [*((i, t, "xx", 0.5) for i, t in ODD), *((i, t, "en", 0.5) for i, t, _ in known)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, raw double")
+    labels = spark.createDataFrame([*((i, y) for i, _, y in known), (None, 1), (100, 7)], "doc_id long, toxic int")
+    found = toxicity.scored(docs, labels).collect()
+    assert len(found) == len(rows) and all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in found)
+    wrong = {i for i, _, y in known} & {r["doc_id"] for r in found if r["doc_id"] and r["predicted"] != dict((i, y) for i, _, y in known).get(r["doc_id"])}
+    assert not wrong
+    kept = toxicity.without_toxic(docs, labels)
+    assert kept.columns == docs.columns and {r["raw"] for r in kept.collect()} == {0.5}
+    none = docs.limit(0)
+    assert toxicity.train(none, labels) is None and toxicity.scored(none, labels).count() == 0 and toxicity.without_toxic(none, labels).count() == 0
+    assert toxicity.without_toxic(docs, labels.limit(0)).count() == len(rows) and {r["predicted"] for r in toxicity.scored(docs, labels.limit(0)).collect()} == {0}
+
+
+def small_network(seed=1):
+    rng = np.random.default_rng(seed)
+    n, e, f = 30, toxicity.EMBEDDING, toxicity.FILTERS
+    net = toxicity.Network(rng.normal(size=(n, e)), [rng.normal(size=(w, e, f)) for w in toxicity.WIDTHS], [rng.normal(size=f) for _ in toxicity.WIDTHS], rng.normal(size=3 * f), rng.normal(size=1))
+    net.embedding[-1] = 0
+    texts = [rng.integers(0, n - 1, (2, k + 2)).astype(np.int32) for k in (1, 2, 5, 40, 3)]
+    for t in texts:
+        t[:, -2:] = n - 1
+    return net, texts
+
+
+@pytest.mark.parametrize("chunk", [1, 2, 7, 1000])
+def test_convolution_equals_loops_however_it_is_cut(monkeypatch, chunk):
+    monkeypatch.setattr(toxicity, "CHUNK", chunk)
+    net, texts = small_network()
+    slow = []
+    for ids in texts:
+        words = net.embedding[ids[0]] + net.embedding[ids[1]]
+        slow.append([max(0, max(sum(words[i + j] @ own[j, :, f] for j in range(w)) for i in range(ids.shape[1] - 2)) + net.filter_bias[k][f]) for k, (w, own) in enumerate(zip(toxicity.WIDTHS, net.filters, strict=True)) for f in range(toxicity.FILTERS)])
+    assert np.allclose(net.pooled(texts), slow, atol=1e-4)
+
+
+def test_gradient_equals_differences():
+    net, texts = small_network()
+    y, weight = np.array([0, 1, 1, 0, 1.0]), np.array([1, 2, 0.5, 1, 1.0])
+    grads = toxicity.gradients(net, texts, y, weight)[1]
+    rng = np.random.default_rng(2)
+    for p, g in zip([net.embedding, *net.filters, *net.filter_bias, net.weights, net.bias], grads, strict=True):
+        for _ in range(12):
+            at = tuple(rng.integers(0, n) for n in p.shape)
+            if p is net.embedding and at[0] == len(p) - 1:
+                continue
+            old, sides = p[at], []
+            for step in (1e-6, -1e-6):
+                p[at] = old + step
+                sides.append(toxicity.gradients(net, texts, y, weight)[0])
+            p[at] = old
+            assert abs((sides[0] - sides[1]) / 2e-6 - g[at]) < 1e-5
 
 
 def test_minority_languages_are_calibrated(spark):
-    many = [(i, lang, label, (8.0 if lang == "xx" else 0.0) + (1.0 if label else -1.0)) for i, (lang, label) in enumerate([("en", k % 2) for k in range(2000)] + [("xx", k % 2) for k in range(90)])]
-    raws = spark.createDataFrame([(i, False, raw, lang) for i, lang, _, raw in many], "doc_id long, held_out boolean, raw double, lang string")
-    labels = spark.createDataFrame([(i, label) for i, _, label, _ in many], "doc_id long, toxic int")
-    aside = [("en", toxicity.binned(-1.0 + 2 * (k % 2)), k % 2) for k in range(40)]
-    network = toxicity.calibrate(toxicity.Classifier(toxicity.Network(*[None] * 5), None), aside, raws, labels, 20).network
-    assert -1 < network.cuts["en"] < 1 and 7 < network.cuts["xx"] < 9
+    many = [(i, lang, label, (8.0 if lang == "xx" else 0.0) + (1.0 if label else -1.0)) for i, (lang, label) in enumerate([("en", k % 2) for k in range(2000)] + [("xx", k % 2) for k in range(600)] + [("yy", k % 2) for k in range(9)])]
+    raws = spark.createDataFrame([(i, raw, lang) for i, lang, _, raw in many], "doc_id long, raw double, lang string")
+    whole, cuts = toxicity.thresholds(raws, spark.createDataFrame([(i, label) for i, _, label, _ in many], "doc_id long, toxic int"))
+    assert set(cuts) == {"en", "xx"} and -1 < cuts["en"] < 1 and 7 < cuts["xx"] < 9 and -1 < whole < 9
+    found = raws.select("lang", toxicity.score(F.col("raw"), F.col("lang"), (whole, cuts)).alias("s"), "raw").collect()
+    assert all((r["s"] >= 0.5) == (r["raw"] >= cuts.get(r["lang"], whole)) for r in found)
 
 
 def test_language(spark, tables):
@@ -71,9 +125,17 @@ def test_language(spark, tables):
 def test_no_language_is_left_out(spark):
     rows = spark.range(1050).selectExpr("id as doc_id", "concat('text ', id) as text", "concat('l', id % 250) as lang")
     found = {r["lang"]: r["count"] for r in common.sample_by(rows, "lang", 3).groupBy("lang").count().collect()}
-    assert len(found) > 225  # a stratum of 4 or 5 rows may by chance have none below its bound
-    every = common.sample_by(rows, "lang", 5)
-    assert every.select("lang").distinct().count() == 250 and every.count() == 1050
+    assert len(found) == 250 and set(found.values()) == {3}
+    assert common.sample_by(rows, "lang", 5).count() == 1050
+
+
+def test_samples_are_bounded_and_the_same_each_time(spark):
+    rows = spark.range(5000).selectExpr("id % 1000 as doc_id", "id % 7 as n", "if(id % 100 = 0, 'b', 'a') as lang")
+    take = lambda df: sorted(map(str, common.sample_by(df, "lang", 20).collect()))
+    assert take(rows) == take(rows.repartition(5)) and len(take(rows)) == 40
+    docs = spark.createDataFrame([(1, f"copy {k}") for k in range(200)] + [(2, "x"), (None, "y")], "doc_id long, text string")
+    known = spark.createDataFrame([(1, 0), (1, 0), (2, 1)], "doc_id long, _label int")
+    assert sorted(r["_label"] for r in common.labelled_sample(docs, known, 9).collect()) == [0, 1]
 
 
 def test_factorisation_identity():
