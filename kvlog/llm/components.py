@@ -1,12 +1,42 @@
-"""Connected components of an undirected graph by alternating large and small stars."""
+"""Connected components of an undirected graph: bounded parts contracted, then large and small stars."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
 
+#: Edges that one task contracts, about 4 MB; a graph of no more is settled by that alone.
+PART = 1 << 18
+
+
+def least_reachable(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, root) of each node of the edges (u, v): the least node that it is joined to. Roots are
+    hooked to lesser ones and paths halved until nothing changes."""
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = at[: len(u)], at[len(u) :]
+    root = np.arange(len(nodes))
+    while True:
+        ra, rb = root[a], root[b]
+        apart = ra != rb
+        if not apart.any():
+            return nodes, nodes[root]
+        np.minimum.at(root, np.maximum(ra, rb)[apart], np.minimum(ra, rb)[apart])
+        while (root[root] != root).any():
+            root = root[root]
+
+
+def _contract(batches):
+    """The edges of a part as a star a component: (node, least node of it within this part)."""
+    held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+    if held:
+        node, root = least_reachable(*(np.concatenate(c) for c in zip(*held, strict=True)))
+        apart = node != root
+        yield pa.RecordBatch.from_arrays([pa.array(node[apart]), pa.array(root[apart])], ["u", "v"])
+
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """One round. Each node's least neighbour is a partial aggregate; it returns to the edges
@@ -23,21 +53,29 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.filter("u <> v").distinct()
 
 
-def components(edges: DataFrame, left: str, right: str, max_rounds: int = 100) -> DataFrame:
-    """(node, root) of each node that has an edge; root is the least node of its component.
+def components(edges: DataFrame, left: str, right: str, max_rounds: int = 100, part: int = PART) -> DataFrame:
+    """(node, root) of each node, a long, that has an edge; root is the least node of its component.
 
-    Self-loops and null ends are no edges; repeated edges count once; no edges give no rows.
-    Every round is written to the shared folder; rounds grow with the logarithm of the longest
-    path. Raises if the graph has not settled after `max_rounds`.
+    Self-loops and null ends are no edges; repeated edges count once; no edges give no rows. Each
+    round first contracts parts of about `part` edges, one in a task, to stars; what is one
+    part is then done. A larger graph goes through a round of large and small stars, which end
+    when the edges no longer change; their number grows with the logarithm of the longest path.
+    Every round is written to the shared folder. Raises if the graph has not settled after
+    `max_rounds`.
     """
     a, b = F.col(left), F.col(right)
-    now = cut(edges.filter(a.isNotNull() & b.isNotNull() & (a != b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
+    now = cut(edges.filter(a.isNotNull() & b.isNotNull() & (a != b)).select(a.cast("long").alias("u"), b.cast("long").alias("v")))
     seen = None
     for _ in range(max_rounds):
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == seen or not state[0]:
-            roots = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
-            return roots.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+        parts = -(-state[0] // part)
+        if parts <= 1 or state == seen:
+            break
         seen = state
-        now = cut(_star(_star(now, True), False))
-    raise RuntimeError(f"components have not settled after {max_rounds} rounds")
+        now = cut(_star(_star(now.coalesce(parts).mapInArrow(_contract, "u long, v long"), True), False))
+    else:
+        raise RuntimeError(f"components have not settled after {max_rounds} rounds")
+    if parts <= 1:
+        now = now.coalesce(1).mapInArrow(_contract, "u long, v long")
+    now = cut(now)
+    return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, small_batches, table
+from .common import cut, small_batches, table, unused
 from .components import components
 
 SHINGLE = 3
@@ -28,6 +28,8 @@ MIN_SHARED = 8 - MAX_BITS
 TRIPLES = [*combinations(range(4), 3), *combinations(range(4, 8), 3)]
 #: Fingerprints of one key that meet in one cell of a join; larger keys are dealt in blocks.
 BLOCK = 2048
+#: The most fingerprints that are looked up in a table sent to all tasks.
+COMMON = 100_000
 
 _hash = functools.partial(xxhash.xxh64_intdigest, seed=42)
 
@@ -74,16 +76,21 @@ def _byte(fp: Column, position: int) -> Column:
     return F.shiftrightunsigned(fp, 8 * position).bitwiseAND(F.lit(255).cast("long"))
 
 
-def _shared(a: Column, b: Column) -> Column:
-    """The positional bytes that two fingerprints share."""
-    x = a.bitwiseXOR(b)
-    return functools.reduce(lambda s, p: s + (_byte(x, p) == 0).cast("int"), range(8), F.lit(0))
+def _alike(x: Column, triple: tuple[int, ...]) -> Column:
+    """Whether the difference of two fingerprints has no bit in the bytes of a triple."""
+    mask = sum(255 << 8 * p for p in triple)
+    return x.bitwiseAND(F.lit(mask - (mask >> 63 << 64)).cast("long")) == 0
 
 
-def links(distinct: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(a, b), a < b: all pairs of the distinct fingerprints in column `fp` that are at most
-    MAX_BITS apart. A key with over `block` fingerprints is dealt over the cells of a block
-    triangle, so that no cell joins more than `block` with `block` of them."""
+def tallied(distinct: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(a, b, shared), a < b: each pair of the distinct fingerprints in column `fp` that meets in a
+    postings list and shares MIN_SHARED positional bytes or more, once.
+
+    The list of a triple holds the fingerprints whole, so a pair's shared positional bytes are
+    counted where it first meets: in the list of the first triple that it shares, the others
+    passing it over. No pair is shuffled to be counted or to lose its repetitions. A list of
+    over `block` fingerprints is dealt over the cells of a block triangle, so that no cell joins
+    more than `block` with `block` of them."""
     keys = F.array(*[
         functools.reduce(lambda k, p: k * 256 + _byte(F.col("fp"), p), triple, F.lit(slot).cast("long"))
         for slot, triple in enumerate(TRIPLES)
@@ -91,14 +98,40 @@ def links(distinct: DataFrame, block: int = BLOCK) -> DataFrame:
     postings = distinct.select("fp", F.explode(keys).alias("key"))
     large = postings.groupBy("key").count().filter(F.col("count") > block).select("key", F.ceil(F.col("count") / block).cast("int").alias("blocks"))
     dealt = postings.join(large, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
-    dealt = dealt.withColumn("own", own)
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
     cell = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("own", j).alias("i"), F.greatest("own", j).alias("j")))
-    dealt = dealt.select("fp", "key", F.explode(cell).alias("cell")).select("fp", "key", "cell.i", "cell.j")
-    a = dealt.select("key", "i", "j", F.col("fp").alias("a"))
-    b = dealt.select("key", "i", "j", F.col("fp").alias("b"))
-    close = (a["a"] < b["b"]) & (_shared(a["a"], b["b"]) >= MIN_SHARED) & (F.bit_count(a["a"].bitwiseXOR(b["b"])) <= MAX_BITS)
-    return a.join(b, (a["key"] == b["key"]) & (a["i"] == b["i"]) & (a["j"] == b["j"]) & close).select("a", "b").distinct()
+    dealt = dealt.select("fp", "own", "key", F.explode(cell).alias("cell")).select("fp", "own", "key", "cell.i", "cell.j")
+    a, b = (dealt.select("key", "i", "j", F.col("fp").alias(n), F.col("own").alias(f"of_{n}")) for n in ("a", "b"))
+    x = a["a"].bitwiseXOR(b["b"])
+    first = functools.reduce(lambda later, k: F.when(_alike(x, TRIPLES[k]), F.lit(k)).otherwise(later), reversed(range(len(TRIPLES))), F.lit(len(TRIPLES)))
+    # two fingerprints of one block have all cells of that block in common; its own cell counts
+    once = (F.shiftright(a["key"], 24) == first) & (a["a"] < b["b"]) & ((a["of_a"] != b["of_b"]) | (a["i"] == a["j"]))
+    shared = functools.reduce(lambda s, p: s + (_byte(x, p) == 0).cast("int"), range(8), F.lit(0))
+    met = a.join(b, (a["key"] == b["key"]) & (a["i"] == b["i"]) & (a["j"] == b["j"]) & once & (shared >= MIN_SHARED))
+    return met.select("a", "b", shared.alias("shared"))
+
+
+def links(distinct: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(a, b), a < b: all pairs of the distinct fingerprints in column `fp` that are at most MAX_BITS
+    apart: the tallied pairs, verified."""
+    return tallied(distinct, block).filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MAX_BITS).select("a", "b")
+
+
+def roots(classes: DataFrame) -> DataFrame:
+    """(fp, root) of each of the distinct fingerprints in column `fp` that has a link."""
+    return components(links(classes.select("fp")), "a", "b").select(F.col("node").alias("fp"), "root")
+
+
+def by_fingerprint(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """`rows` (fp and more) with the columns of `found` (fp, n and more), a row a fingerprint, n of
+    the rows having it. A fingerprint of over 1/COMMON of the rows, or of BLOCK where that is
+    more, is looked up in a table of at most COMMON rows that all tasks have, so its rows stay
+    where they are; the others meet by fingerprint."""
+    total = found.agg(F.sum("n")).first()[0] or 0
+    common = found.filter(F.col("n") > max(BLOCK, total // COMMON)).drop("n")
+    here = rows.join(F.broadcast(common), "fp")
+    rest = rows.join(F.broadcast(common.select("fp")), "fp", "left_anti").join(found.drop("n"), "fp")
+    return here.unionByName(rest)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -111,33 +144,30 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     meet as one fingerprint before any comparison.
     """
     prints = cut(fingerprints(docs))
-    classes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = components(links(classes.select("fp")), "a", "b").select(F.col("node").alias("fp"), "root")
-    linked = cut(roots.join(classes, "fp"))
+    classes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
+    linked = cut(roots(classes).join(classes, "fp"))
     whole = linked.groupBy("root").agg(F.min("least").alias("component"))
     linked = linked.join(whole, "root").select("fp", "component")
-    # as a table of its own, so that the join of a fingerprint that many rows share can be split
-    ids = cut(classes.join(linked, "fp", "left").select("fp", F.coalesce("component", "least").alias("component_id")))
-    return prints.join(ids, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    ids = cut(classes.join(linked, "fp", "left").select("fp", "n", F.coalesce("component", "least").alias("component_id")))
+    return by_fingerprint(prints, ids).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """One row of each group of near-duplicates: that with the smallest doc_id, one without an id
     only where no row of the group has one; of rows with that same id, or with none, the least
     hash of all columns decides. A row is told by that hash of 128 bits, not by its doc_id, so
-    neither null nor repeated ids make a difference; rows that are alike in all columns are one."""
+    neither null nor repeated ids make a difference; rows that are alike in all columns are one.
+    A null text is empty; no rows give no rows."""
     row = {"h": F.xxhash64(*docs.columns), "g": F.xxhash64(F.lit(1), *docs.columns)}
-    prints = cut(fingerprints(docs, **row))
-    distinct = prints.groupBy("fp", "doc_id", "h", "g").agg(F.count("*").alias("n"))
+    distinct = fingerprints(docs, **row).groupBy("fp", "doc_id", "h", "g").agg(F.count("*").alias("n"))
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h", "g", "n")
     classes = cut(distinct.groupBy("fp").agg(F.min(first).alias("first")))
-    roots = components(links(classes.select("fp")), "a", "b").select(F.col("node").alias("fp"), "root")
-    groups = classes.join(roots, "fp", "left").groupBy(F.coalesce("root", "fp").alias("group")).agg(F.min("first").alias("first"))
-    keep = cut(groups.select("first.h", "first.g", "first.n"))
-    kept = docs.withColumns({"_h": row["h"], "_g": row["g"]})
-    kept = kept.join(keep.select(F.col("h").alias("_h"), F.col("g").alias("_g")), ["_h", "_g"], "left_semi")
-    if not keep.filter("n > 1").isEmpty():
-        kept = kept.dropDuplicates(["_h", "_g"])
+    groups = classes.join(roots(classes), "fp", "left").groupBy(F.coalesce("root", "fp").alias("group")).agg(F.min("first").alias("first"))
+    h, g = unused(docs.columns, "h"), unused(docs.columns, "g")
+    keep = cut(groups.select(F.col("first.h").alias(h), F.col("first.g").alias(g), F.col("first.n").alias("repeats_")))
+    kept = docs.withColumns({h: row["h"], g: row["g"]}).join(keep.select(h, g), [h, g], "left_semi")
+    if not keep.filter("repeats_ > 1").isEmpty():
+        kept = kept.dropDuplicates([h, g])
     return kept.select(*docs.columns)
 
 
