@@ -2,7 +2,9 @@
 
 A model of random strings and one of ordinary identifiers, each a table of character pairs
 trained from labelled samples, are compared by log-likelihood ratio. The ratios are whole
-thousandths, so that sums are the same in any order and engine.
+thousandths, so that sums are the same in any order and engine. What the models see is the text
+with its base spans blanked: the runs of letters in it, and in runs that are not random as a
+whole their parts between separators.
 """
 
 from __future__ import annotations
@@ -11,12 +13,10 @@ import hashlib
 import math
 import re
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table
+from .common import table, unused
 
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -25,7 +25,9 @@ HEX = r"[0-9a-f]+"
 #: A run too short to judge is no candidate; a ratio per pair, in thousandths, at or under the
 #: least is no secret.
 SHORTEST, LEAST = 20, 700
-RUN = rf"[A-Za-z0-9+/_-]{{{SHORTEST},}}"
+RUN, PART = rf"[A-Za-z0-9+/_-]{{{SHORTEST},}}", rf"[A-Za-z0-9+]{{{SHORTEST},}}"
+#: Elements of an array that are scanned in one go, and code points of a text that are rewritten so.
+STEP, PIECE = 256, 4096
 KINDS = ["assign", "access", "hex", "markov"]
 
 _WORDS = (
@@ -60,17 +62,17 @@ _WORDS = (
 ).split()
 
 
-def labelled_samples() -> tuple[list[str], list[str]]:
-    """Random strings, of three alphabets, and ordinary identifiers in the usual spellings."""
-    stream = b"".join(hashlib.sha512(f"sample {i}".encode()).digest() for i in range(400))
+def labelled_samples(words: list[str] = _WORDS, name: str = "sample") -> tuple[list[str], list[str]]:
+    """Random strings, of three alphabets, and ordinary identifiers of `words` in the usual spellings."""
+    stream = b"".join(hashlib.sha512(f"{name} {i}".encode()).digest() for i in range(400))
     random, at = [], 0
     for n, letters in [(160, LETTERS[:62]), (120, LETTERS), (80, "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")]:
         for _ in range(n):
             random.append("".join(letters[b % len(letters)] for b in stream[at : at + 40]))
             at += 40
     ordinary = []
-    for i, a in enumerate(_WORDS):
-        b, c = _WORDS[(i * 7 + 3) % len(_WORDS)], _WORDS[(i * 13 + 5) % len(_WORDS)]
+    for i, a in enumerate(words):
+        b, c = words[(i * 7 + 3) % len(words)], words[(i * 13 + 5) % len(words)]
         ordinary += [a + b + c, f"{a}_{b}_{c}", f"{a}-{b}-{c}", a + b.title() + c.title(), a.title() + b.title(), f"{a}/{b}/{c}", f"{a}_{b}_{i % 10}", f"{a.upper()}_{b.upper()}", a.upper() + b.upper()]
     return random, ordinary
 
@@ -94,57 +96,6 @@ def ratios(random: list[str], ordinary: list[str]) -> list[int]:
 
 
 TABLE = ratios(*labelled_samples())
-_CODES = np.zeros(128, np.int64)
-_CODES[list(LETTERS.encode())] = range(len(LETTERS))
-_RUN, _PIECE = re.compile(RUN), "/_-"
-
-
-def random_parts(run: str) -> list[tuple[int, int]]:
-    """The parts of a run, of SHORTEST letters or more, that the models call random: the whole run,
-    or else the part whose ratios exceed LEAST a pair by most, widened to the separators around
-    it, and the same again on both sides of it."""
-    out, todo = [], [(0, len(run))]
-    codes = _CODES[np.frombuffer(run.encode("ascii"), np.uint8)]
-    over = np.concatenate([[0], np.cumsum(np.array(TABLE)[codes[:-1] * len(LETTERS) + codes[1:]] - LEAST)])
-    if over[-1] > 0:
-        return [(0, len(run))] if len(run) >= SHORTEST else []
-    while todo:
-        low, high = todo.pop()
-        if high - low < SHORTEST:
-            continue
-        own = over[low:high]
-        begin = np.minimum.accumulate(own[: len(own) - SHORTEST + 1])
-        gain = own[SHORTEST - 1 :] - begin
-        last = int(gain.argmax())
-        if gain[last] <= 0:
-            continue
-        first = low + int(own[: last + 1].argmin())
-        end = low + last + SHORTEST
-        while first > low and run[first - 1] not in _PIECE:
-            first -= 1
-        while end < high and run[end] not in _PIECE:
-            end += 1
-        out.append((first, end))
-        todo += [(low, first), (end, high)]
-    return sorted(out)
-
-
-def random_spans(text: str, base: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """What the models find in the parts of the runs of `text` that lie outside the sorted base spans."""
-    out, k = [], 0
-    for m in _RUN.finditer(text):
-        at = m.start()
-        while k < len(base) and base[k][1] <= at:
-            k += 1
-        inside, j = [], k
-        while j < len(base) and base[j][0] < m.end():
-            inside.append(base[j])
-            j += 1
-        for start, end in [*inside, (m.end(), m.end())]:
-            if start - at >= SHORTEST:
-                out += [(at + a, at + b) for a, b in random_parts(text[at:start])]
-            at = max(at, end)
-    return out
 
 
 def _sum(numbers: Column) -> Column:
@@ -158,43 +109,84 @@ def _is_random(run: Column) -> Column:
     return _sum(pairs) > LEAST * (F.length(run) - 1)
 
 
+def _scanned(items: Column, kind: str, out: str, step) -> Column:
+    """What `step` puts out for each item in order, nulls left out, as it passes on a state of type
+    `kind` that begins at zero. Appending copies an array, so items are scanned STEP at a time."""
+    inner, outer = f"struct<at:{kind},out:array<{out}>>", f"struct<at:{kind},out:array<array<{out}>>>"
+    start = lambda at, of: F.struct(at.alias("at"), F.array().alias("out")).cast(of)
+
+    def one(acc, x):
+        at, made = step(acc["at"], x)
+        return F.struct(at.alias("at"), F.when(made.isNull(), acc["out"]).otherwise(F.array_append(acc["out"], made)).alias("out")).cast(inner)
+
+    def part(acc, k):
+        joined = lambda own: F.struct(own["at"].alias("at"), F.array_append(acc["out"], own["out"]).alias("out")).cast(outer)
+        return F.aggregate(F.slice(items, k * STEP + 1, STEP), start(acc["at"], inner), one, joined)
+
+    parts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size(items) - 1) / STEP).cast("int")))
+    return F.aggregate(parts, start(F.lit(0), outer), part, lambda acc: F.flatten(acc["out"]))
+
+
+_SPAN = "struct<start:bigint,kind:int,end:bigint>"
+
+
 def _spans(text: Column, pattern: str, kind: int, good) -> Column:
     """The matches that are good, with places in code points. The gaps between the matches and
     the matches, read by turns, add up to the places; `good` tells it of each match."""
     gaps, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), 0)
     steps = F.arrays_zip(F.transform(gaps, F.length).alias("gap"), F.transform(hits, F.length).alias("hit"), good(hits).alias("good"))
-    kinds = "struct<at:bigint,out:array<struct<start:bigint,kind:int,end:bigint>>>"
-    none = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>").alias("out")).cast(kinds)
 
-    def step(acc, x):
-        start = acc["at"] + x["gap"]
+    def step(at, x):
+        start = at + x["gap"]
         end = start + F.coalesce(x["hit"], F.lit(0))
-        span = F.struct(start.cast("long").alias("start"), F.lit(kind).alias("kind"), end.cast("long").alias("end"))
-        return F.struct(end.cast("long").alias("at"), F.when(F.coalesce(x["good"], F.lit(False)), F.array_append(acc["out"], span)).otherwise(acc["out"]).alias("out")).cast(kinds)
+        return end, F.when(F.coalesce(x["good"], F.lit(False)), F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end")).cast(_SPAN))
 
-    found = F.aggregate(steps, none, step, lambda acc: acc["out"])
-    return F.when(text.rlike(pattern), found).otherwise(F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>"))
+    return F.when(text.rlike(pattern), _scanned(steps, "bigint", _SPAN, step)).otherwise(F.array().cast(f"array<{_SPAN}>"))
 
 
-def with_base(docs: DataFrame, text: str = "text") -> DataFrame:
-    """`docs` with columns _text (null as empty) and _base: spans (start, kind, end)."""
-    docs = docs.withColumn("_text", F.coalesce(F.col(text).cast("string"), F.lit("")))
-    t = F.col("_text")
-    longer = lambda n: lambda hits: F.transform(hits, lambda h: F.length(h) >= n)
-    assign = _spans(t, ASSIGN, 0, lambda _: F.transform(F.regexp_extract_all(t, F.lit(ASSIGN), 2), lambda v: F.length(v) >= 12))
-    # shorter runs fail and take up nothing that a longer one needs, so they are not matched at all
-    access = _spans(t, ACCESS.replace("+", "{14,}"), 1, longer(18))
-    hexes = _spans(t, HEX.replace("+", "{16,}"), 2, longer(16))
-    return docs.withColumn("_base", F.array_sort(F.concat(assign, access, hexes)))
+def _replaced(text: Column, spans: Column, mask: str | None) -> Column:
+    """The text with each stretch of sorted spans, overlapping ones together, replaced by `mask`, or by
+    as many blanks. It is rewritten in pieces, as finding a place takes a walk from the start."""
+    kind = "struct<start:bigint,end:bigint,begins:boolean>"
 
+    def stretch(end, s):
+        out = F.struct(F.greatest(end, s["start"]).alias("start"), s["end"].alias("end"), (s["start"] >= end).alias("begins")).cast(kind)
+        return F.greatest(end, s["end"]), F.when(s["end"] > end, out)
 
-def with_spans(docs: DataFrame, text: str = "text") -> DataFrame:
-    """`docs` with columns _text, _base and _all: spans (start, kind, end)."""
-    docs, t = with_base(docs, text), F.col("_text")
-    runs = _spans(t, RUN, 3, lambda hits: F.transform(hits, _is_random))
-    docs = docs.withColumn("_runs", runs)
-    apart = F.filter("_runs", lambda m: ~F.exists("_base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
-    return docs.withColumn("_all", F.array_sort(F.concat("_base", F.when(F.size("_runs") > 0, apart).otherwise(F.col("_runs")))))
+    stretches = _scanned(spans, "bigint", kind, stretch)
+
+    def piece(own, k):
+        low, acc = k.cast("bigint") * PIECE, "struct<at:int,out:string>"
+
+        def step(state, s):
+            a, b = F.greatest(s["start"] - low, F.lit(0)).cast("int"), F.least(s["end"] - low, F.lit(PIECE)).cast("int")
+            fill = F.repeat(F.lit(" "), b - a) if mask is None else F.when(s["begins"] & (s["start"] >= low), F.lit(mask)).otherwise(F.lit(""))
+            return F.struct(b.alias("at"), F.concat(state["out"], F.substring(own, state["at"] + 1, a - state["at"]), fill).alias("out")).cast(acc)
+
+        here = F.filter(stretches, lambda s: (s["start"] < low + PIECE) & (s["end"] > low))
+        return F.aggregate(here, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")).cast(acc), step, lambda state: F.concat(state["out"], F.substring(own, state["at"] + 1, F.lit(PIECE))))
+
+    pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), 0)
+    return F.when(F.size(spans) > 0, F.array_join(F.transform(pieces, piece), "")).otherwise(text)
+
+
+def with_spans(docs: DataFrame, text: str = "text") -> tuple[DataFrame, str, str]:
+    """`docs` with two more columns, whose names come with it: the base spans, and all spans (start,
+    kind, end). A null text is empty."""
+    t, base, blank, runs, rest, every = (unused(docs.columns, n) for n in ("_text", "_base", "_blank", "_runs", "_rest", "_all"))
+    longer = lambda n: lambda hits: F.transform(hits, lambda h: F.length(h) >= n)
+    random = lambda hits: F.transform(hits, _is_random)
+    docs, text_ = docs.withColumn(t, F.coalesce(F.col(text).cast("string"), F.lit(""))), F.col(t)
+    assign = _spans(text_, ASSIGN, 0, lambda _: F.transform(F.regexp_extract_all(text_, F.lit(ASSIGN), 2), lambda v: F.length(v) >= 12))
+    # shorter runs fail and take up nothing that a longer one needs, so they are not matched at all
+    access = _spans(text_, ACCESS.replace("+", "{14,}"), 1, longer(18))
+    hexes = _spans(text_, HEX.replace("+", "{16,}"), 2, longer(16))
+    docs = docs.withColumn(base, F.array_sort(F.concat(assign, access, hexes)))
+    docs = docs.withColumn(blank, _replaced(text_, F.col(base), None))
+    docs = docs.withColumn(runs, _spans(F.col(blank), RUN, 3, random))
+    docs = docs.withColumn(rest, _replaced(F.col(blank), F.col(runs), None))
+    docs = docs.withColumn(every, F.array_sort(F.concat(F.col(base), F.col(runs), _spans(F.col(rest), PART, 3, random))))
+    return docs.drop(t, blank, runs, rest), base, every
 
 
 def _joined(spans: str) -> Column:
@@ -206,58 +198,26 @@ def secret_spans(docs: DataFrame) -> DataFrame:
     """(doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_markov) for each row of `docs`
     (doc_id, text).
 
-    A span is that of the whole match, in code points, its end exclusive; a span of the models
-    is left out where it overlaps a base one. A null or empty text has no spans, and the digest
-    is that of the empty string. A null doc_id stays null; repeated rows are scanned each; no
-    rows give none.
+    A span is that of the whole match, in code points, its end exclusive; those of the models lie
+    beside the base ones. A null or empty text has no spans, and the digest is that of the empty
+    string. A null doc_id stays null; repeated rows are scanned each; no rows give none.
     """
-    docs = with_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
-    n = lambda kind: F.size(F.filter("_all", lambda s: s["kind"] == kind)).cast("long")
-    return docs.select("doc_id", n(0).alias("n_assign"), n(1).alias("n_access"), n(2).alias("n_hex"), F.sha2(_joined("_base").cast("binary"), 256).alias("base_sha256"), _joined("_all").alias("spans"), n(3).alias("n_markov"))
-
-
-def masked(text: str, base: list[tuple[int, int]], mask: str) -> str:
-    """The text with each stretch of base spans and of what the models find beside them replaced."""
-    out, at = [], 0
-    merged = []
-    for a, b in sorted(base):
-        if merged and a < merged[-1][1]:
-            merged[-1] = merged[-1][0], max(b, merged[-1][1])
-        else:
-            merged.append((a, b))
-    for a, b in sorted([*merged, *random_spans(text, merged)]):
-        out += [text[at:a], mask]
-        at = b
-    return "".join([*out, text[at:]])
+    docs, base, every = with_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    n = lambda kind: F.size(F.filter(every, lambda s: s["kind"] == kind)).cast("long")
+    return docs.select("doc_id", n(0).alias("n_assign"), n(1).alias("n_access"), n(2).alias("n_hex"), F.sha2(_joined(base).cast("binary"), 256).alias("base_sha256"), _joined(every).alias("spans"), n(3).alias("n_markov"))
 
 
 def redacted(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
-    """`docs` with each stretch of secrets in `text` replaced by `mask` and n_chars, where there is
-    one, set to the new length. Secrets are the base spans and what the models find in the rest
-    of a run or in a part of it (`random_parts`): all that secret_spans reports, and more. Texts
-    without secrets stay as they are, null too."""
-    columns, found = docs.columns, with_base(docs)
-    small_batches(docs.sparkSession)
-    spans = F.when(F.size("_base") > 0, F.transform("_base", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
-    found = found.select(*columns, spans.alias("_base"))
-    at, names = columns.index("text"), [*columns, "_changed"]
-    schema = ", ".join([*(f"`{f.name}` {'string' if f.name == 'text' else f.dataType.simpleString()}" for f in docs.schema), "_changed boolean"])
-
-    def run(batches):
-        for batch in batches:
-            old, new, changed = batch.column(at).cast(pa.string()).to_pylist(), [], []
-            for text, base in zip(old, batch.column(len(columns)).to_pylist(), strict=True):
-                clean = masked(text, [(s["start"], s["end"]) for s in base or []], mask) if text else text
-                new.append(clean)
-                changed.append(clean != text)
-            held = batch.columns[:-1]
-            held[at] = pa.array(new, pa.string())
-            yield pa.RecordBatch.from_arrays([*held, pa.array(changed, pa.bool_())], names)
-
-    found = found.mapInArrow(run, schema)
-    if "n_chars" in columns:
-        found = found.withColumn("n_chars", F.when(F.col("_changed"), F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return found.select(*columns)
+    """`docs` with each stretch of spans in `text` replaced by `mask` and n_chars, where there is such
+    a column, set to the new length. Texts without spans stay as they are, null too; repeated
+    rows are masked each; other columns, of whatever name, stay; no rows give none."""
+    found, _, every = with_spans(docs)
+    has = F.size(every) > 0
+    text = F.when(has, _replaced(F.col("text").cast("string"), F.col(every), mask)).otherwise(F.col("text"))
+    found = found.withColumn("text", text)
+    if "n_chars" in docs.columns:
+        found = found.withColumn("n_chars", F.when(has, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return found.select(*docs.columns)
 
 
 def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -269,24 +229,35 @@ def _oracle() -> str:
     names = "|".join([*map(either, ["password", "passwd", "secret", "token"]), either("api") + "_?" + either("key")])
     assign = re.sub(r"\(\?i\)\([^)]*\)", lambda _: f"({names})", ASSIGN).replace("'", "''").replace(r"\x20", " ")
 
-    def spans(kind, pattern, good):
-        return f"""SELECT doc_id, rn, {kind} AS kind, g[i] AS value, {good} AS good,
+    def spans(kind, pattern, good, texts="d"):
+        return f"""SELECT rn, {kind} AS kind, g[i] AS value, {good} AS good,
           CAST(list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1:i-1], lambda x: length(x))), 0) AS BIGINT) AS start,
           CAST(length(hits[i]) AS BIGINT) AS width
         FROM (SELECT *, unnest(range(1, len(hits) + 1)) AS i FROM (
-          SELECT doc_id, rn, regexp_split_to_array(t, '{pattern}') AS gaps, regexp_extract_all(t, '{pattern}', 0) AS hits,
-            regexp_extract_all(t, '{pattern}', {2 if kind == 0 else 0}) AS g FROM d))"""
+          SELECT rn, regexp_split_to_array(t, '{pattern}') AS gaps, regexp_extract_all(t, '{pattern}', 0) AS hits,
+            regexp_extract_all(t, '{pattern}', {2 if kind == 0 else 0}) AS g FROM {texts}) CROSS JOIN learned)"""
+
+    def blanked(texts, found):
+        return f"""SELECT rn, coalesce(b.t, {texts}.t) AS t FROM {texts} LEFT JOIN (
+          SELECT rn, string_agg(substr(t, before + 1, low - before) || repeat(' ', CAST(stop - low AS INTEGER)), '' ORDER BY low) || substr(any_value(t), max(stop) + 1) AS t
+          FROM (SELECT rn, CAST(greatest(start, before) AS INTEGER) AS low, CAST(stop AS INTEGER) AS stop, CAST(before AS INTEGER) AS before
+            FROM (SELECT *, coalesce(max(stop) OVER (PARTITION BY rn ORDER BY start, kind ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM {found}) s
+            WHERE stop > before) c JOIN {texts} USING (rn) GROUP BY rn) b USING (rn)"""
 
     score = f"""list_sum(list_transform(range(1, length(hits[i])), lambda j: w[
       CAST((strpos('{LETTERS}', substr(hits[i], CAST(j AS INTEGER), 1)) - 1) * {len(LETTERS)} + strpos('{LETTERS}', substr(hits[i], CAST(j + 1 AS INTEGER), 1)) AS INTEGER)])) > {LEAST} * (length(hits[i]) - 1)"""
+    good = "SELECT rn, kind, start, start + width AS stop FROM {} WHERE good"
     return f"""
-WITH d AS (SELECT doc_id, row_number() OVER () AS rn, coalesce(text, '') AS t, [{",".join(map(str, TABLE))}] AS w FROM documents),
+WITH learned AS (SELECT [{",".join(map(str, TABLE))}] AS w),
+d AS MATERIALIZED (SELECT doc_id, row_number() OVER () AS rn, coalesce(text, '') AS t FROM documents),
 b AS ({spans(0, assign, "length(g[i]) >= 12")} UNION ALL {spans(1, ACCESS, "length(hits[i]) >= 18")} UNION ALL {spans(2, HEX, "length(hits[i]) >= 16")}),
-base AS (SELECT rn, kind, start, start + width AS stop FROM b WHERE good),
-m AS ({spans(3, RUN, score).replace("AS g FROM d", "AS g, w FROM d")}),
-more AS (SELECT rn, kind, start, start + width AS stop FROM m WHERE good
-  AND NOT EXISTS (SELECT 1 FROM base WHERE base.rn = m.rn AND base.start < m.start + m.width AND m.start < base.stop)),
-every AS (SELECT * FROM base UNION ALL SELECT * FROM more),
+base AS ({good.format("b")}),
+blank AS MATERIALIZED ({blanked("d", "base")}),
+r AS ({spans(3, RUN, score, "blank")}),
+runs AS ({good.format("r")}),
+rest AS MATERIALIZED ({blanked("blank", "runs")}),
+p AS ({spans(3, PART, score, "rest")}),
+every AS (SELECT * FROM base UNION ALL SELECT * FROM runs UNION ALL {good.format("p")}),
 s AS (SELECT rn, count(*) FILTER (kind = 0) AS a, count(*) FILTER (kind = 1) AS c, count(*) FILTER (kind = 2) AS h, count(*) FILTER (kind = 3) AS k,
   string_agg(['assign', 'access', 'hex', 'markov'][kind + 1] || ':' || start || ':' || stop, ',' ORDER BY start, kind) FILTER (kind < 3) AS own,
   string_agg(['assign', 'access', 'hex', 'markov'][kind + 1] || ':' || start || ':' || stop, ',' ORDER BY start, kind) AS whole FROM every GROUP BY rn)
