@@ -1,25 +1,38 @@
 """Exact top-k inner products by the threshold algorithm over sorted per-dimension lists.
 
-Candidates are dealt in blocks. A block keeps, for each dimension, its rows in the order of
-that component. A query reads the lists from the end that its own component favours; rows met
-are scored whole, and reading stops once the bound on rows not yet met, the sum over the
-dimensions of query times list value at the depth, cannot beat the k-th score. An equal bound
-does not stop it, as a row not yet met may have the smaller id.
+A task reads its candidates once, in blocks, and holds the k best of each query so far. A block
+keeps, for each dimension, its rows in the order of that component. A query reads the lists
+from the end that its own component favours, down to the depth where the bound on rows not yet
+met, the sum over the dimensions of query times list value there, cannot beat its k-th score
+so far; rows met are scored whole. An equal bound does not stop it, as a row not yet met may
+have the smaller id. Queries are sent to the candidates in passes of bounded size, so that no
+candidate is copied or shuffled.
 """
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import cut, table
 
 K = 10
 SCALE = 1024
-#: Rows of a block of candidates and of queries, and the least number of candidate blocks.
-CANDIDATES, QUERIES, LEAST_BLOCKS = 8192, 4096, 64
+#: Rows of a block of candidates, and of a task's first one, which has no k-th score to stop at yet.
+BLOCK, FIRST = 8192, 1024
+#: Numbers in the queries of one pass: what the driver holds and sends to all tasks, 32 MB.
+PASS = 4 << 20
+#: Scores that are held at once.
+SCORES = 1 << 21
+#: Sums of whole numbers below this are exact in doubles, which are multiplied much faster.
+EXACT = 1 << 53
+#: No score, and the ends of what a score can be.
+NONE, LEAST, MOST = -(1 << 63), 1 - (1 << 63), (1 << 63) - 1
 
 
 def quantised(embedding: Column) -> Column:
@@ -29,80 +42,139 @@ def quantised(embedding: Column) -> Column:
     return F.when(ok, F.transform(x, lambda v: F.floor(v * SCALE).cast("long")))
 
 
-def threshold_topk(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int = K):
-    """(query index, candidate index, score) of the k best of each query in this block, a query's
-    own id excluded, ties to smaller ids. `ids` must ascend; all numbers are whole."""
-    n, dims = vectors.shape
-    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    if not n or not len(queries):
-        return found
-    order = np.argsort(vectors, axis=0, kind="stable")
-    lists = np.take_along_axis(vectors, order, axis=0)
-    depths = [min(n, 16 << i) for i in range(max(1, (max(1, n - 1) // 16).bit_length() + 1))]
-    if depths[-1] < n:
-        depths.append(n)
-    low = np.stack([lists[d - 1] for d in depths])
-    high = np.stack([lists[n - d] for d in depths])
-    bounds = np.maximum(queries, 0) @ high.T + np.minimum(queries, 0) @ low.T
-    for q in range(len(queries)):
-        up, used = queries[q] >= 0, np.flatnonzero(queries[q])
-        seen, scores, done = np.zeros(n, bool), np.empty(n, np.int64), 0
-        own = np.searchsorted(ids, query_ids[q]), np.searchsorted(ids, query_ids[q], "right")
-        for at, depth in enumerate(depths):
-            if depth == n:
-                new = np.flatnonzero(~seen)
-            else:
-                met = [order[n - depth : n - done, d] if up[d] else order[done:depth, d] for d in used]
-                met = np.concatenate(met) if met else np.empty(0, np.int64)
-                fresh = np.zeros(n, bool)
-                fresh[met] = True
-                new = np.flatnonzero(fresh & ~seen)
-            scores[new] = vectors[new] @ queries[q]
-            seen[new] = True
-            done = depth
-            have = seen.copy()
-            have[own[0] : own[1]] = False
-            have = np.flatnonzero(have)
-            if depth == n or len(have) >= k and np.partition(scores[have], len(have) - k)[len(have) - k] > bounds[q, at]:
-                break
-        best = have[np.lexsort((have, -scores[have]))[:k]]
-        found.append((np.full(len(best), q), best, scores[best]))
-    return found
-
-
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, candidates: int = CANDIDATES, query_rows: int = QUERIES, least_blocks: int = LEAST_BLOCKS) -> DataFrame:
+class Searcher:
+    """The k best candidates of each query, as blocks of candidates come. `scored` counts the pairs
+    that have been scored, of `offered` ones."""
+
+    def __init__(self, query_ids: np.ndarray, queries: np.ndarray, k: int = K):
+        self.query_ids, self.queries, self.k = query_ids, queries, k
+        self.ids = np.zeros((len(queries), k), np.int64)
+        self.scores = np.full((len(queries), k), NONE)
+        self.largest = self._largest(queries)
+        self.scored = self.offered = 0
+
+    def add(self, ids: np.ndarray, vectors: np.ndarray) -> None:
+        """A block, of vectors as long as the queries."""
+        if not len(ids) or not len(self.queries):
+            return
+        order = np.argsort(ids, kind="stable")
+        ids, vectors = ids[order], vectors[order]
+        self.offered += len(ids) * len(self.queries)
+        if self.largest * self._largest(vectors) * vectors.shape[1] >= EXACT:
+            self.scored += len(ids) * len(self.queries)
+            for k in range(len(self.queries)):
+                exact = np.clip(vectors.astype(object) @ self.queries[k].astype(object), LEAST, MOST)
+                self._merge(np.array([k]), ids, exact.astype(np.int64)[:, None])
+            return
+        x, q, n = vectors.astype(np.float64), self.queries.astype(np.float64), len(ids)
+        lists, depths = np.argsort(x, axis=0, kind="stable"), self._depths(n)
+        values = np.take_along_axis(x, lists, axis=0)
+        bounds = np.maximum(q, 0) @ values[n - depths].T + np.minimum(q, 0) @ values[depths - 1].T
+        stop = (bounds >= self.scores[:, -1:]).sum(axis=1)  # bounds fall with the depth: so many do not stop the query
+        depth = np.append(depths, n)[stop]
+        early = (stop < len(depths)) & ((q != 0).sum(axis=1) * depth < n)
+        for k in np.flatnonzero(early):
+            met = np.unique(np.concatenate([lists[n - depth[k] :, q[k] > 0].ravel(), lists[: depth[k], q[k] < 0].ravel()]))
+            self.scored += len(met)
+            self._merge(np.array([k]), ids[met], (x[met] @ q[k])[:, None].astype(np.int64))
+        whole = np.flatnonzero(~early)  # the lists are to be read so deep that all rows may be met
+        self.scored += len(whole) * n
+        for at in range(0, len(whole), max(1, SCORES // n)):
+            own = whole[at : at + max(1, SCORES // n)]
+            self._merge(own, ids, (x @ q[own].T).astype(np.int64))
+
+    @staticmethod
+    def _largest(x: np.ndarray) -> int:
+        return max(abs(int(x.max(initial=0))), abs(int(x.min(initial=0))))
+
+    @staticmethod
+    def _depths(n: int) -> np.ndarray:
+        """Depths of the lists at which a query may stop, each about a tenth deeper."""
+        return np.unique(np.minimum(n, np.ceil(1.1 ** np.arange(int(np.log(n) / np.log(1.1)) + 2)).astype(np.int64)))
+
+    def _merge(self, own: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
+        """Takes the scores (candidate, query) of queries `own` into their k best."""
+        if not len(ids):
+            return
+        scores, kth = np.where(ids[:, None] == self.query_ids[own], NONE, scores).T, self.scores[own, -1]
+        if len(ids) > self.k:
+            kth = np.maximum(kth, np.partition(scores, len(ids) - self.k, axis=1)[:, len(ids) - self.k])
+        q, c = np.nonzero((scores >= kth[:, None]) & (scores > NONE))
+        s = np.concatenate([self.scores[own].ravel(), scores[q, c]])
+        i, q = np.concatenate([self.ids[own].ravel(), ids[c]]), np.concatenate([np.repeat(np.arange(len(own)), self.k), q])
+        order = np.lexsort((i, ~s, q))  # ~s falls as s rises, and never overflows
+        keep = order[np.arange(len(q)) - np.searchsorted(q[order], q[order]) < self.k]
+        self.scores[own], self.ids[own] = s[keep].reshape(len(own), self.k), i[keep].reshape(len(own), self.k)
+
+    def best(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query id, candidate id, score) of all that is held."""
+        q, c = np.nonzero(self.scores > NONE)
+        return self.query_ids[q], self.ids[q, c], self.scores[q, c]
+
+
+def _by_length(ids: pa.Array, lists: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(ids, vectors) of each length of the lists."""
+    lengths = lists.value_lengths().to_numpy(zero_copy_only=False)
+    for n in np.unique(lengths):
+        own = pa.array(lengths == n)
+        yield ids.filter(own).to_numpy(), lists.filter(own).flatten().to_numpy().reshape(-1 if n else int((lengths == 0).sum()), n)
+
+
+def _passes(queries: DataFrame, numbers: int) -> Iterator[list[tuple[np.ndarray, np.ndarray]]]:
+    """The queries, dealt into passes of about so many numbers. Only one pass is here at once."""
+    n = max(1, -(-(queries.agg(F.sum(F.size("x") + 1)).first()[0] or 0) // numbers))
+    deal = F.pmod(F.xxhash64("vec_id"), F.lit(n))
+    for p in range(n):
+        found = queries.filter(deal == p).toArrow().combine_chunks()
+        yield [part for batch in found.to_batches() for part in _by_length(batch.column(0), batch.column(1))]
+
+
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, block: int = BLOCK, first: int = FIRST, numbers: int = PASS) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best of `vectors` for each row of `queries`, both
     (vec_id, x array<long>), by integer inner product, the query's own id excluded.
 
-    Every block of queries meets every block of candidates in a task of its own, which returns k
-    rows a query; those of all blocks are ranked. Vectors without an id, null vectors and those
-    of other lengths than the query's take no part. A repeated id of the candidates is each of
-    its rows; of a repeated query id one row asks. Fewer candidates than k are all returned; no
-    rows give none.
+    Each task returns k rows a query, and those of all tasks are ranked, ties to smaller ids.
+    Vectors without an id, null ones, those that hold a null and those of other lengths than
+    the query's take no part. A repeated id of the candidates is each of its rows; of a repeated
+    query id the least row asks. Scores beyond a long are its end. Fewer candidates than k are
+    all returned; no rows give none.
     """
-    vectors = vectors.filter("vec_id is not null and x is not null").select("vec_id", "x", F.size("x").alias("dims"))
-    queries = queries.filter("vec_id is not null and x is not null").groupBy("vec_id").agg(F.min("x").alias("x"))
-    queries = queries.select("vec_id", "x", F.size("x").alias("dims"))
-    blocks = max(least_blocks, -(-vectors.count() // candidates))
-    query_blocks = max(1, -(-queries.count() // query_rows))
-    deal = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
-    numbers = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    a = vectors.withColumn("block", deal(blocks)).withColumn("asked", numbers(query_blocks))
-    b = queries.withColumn("asked", deal(query_blocks)).withColumn("block", numbers(blocks))
-
-    def meet(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
-        left = left.sort_values("vec_id", kind="stable")
-        ids, asked = left["vec_id"].to_numpy(), right["vec_id"].to_numpy()
-        x, y = np.stack(left["x"].to_list()).astype(np.int64), np.stack(right["x"].to_list()).astype(np.int64)
-        q, at, score = (np.concatenate(c) for c in zip(*threshold_topk(ids, x, asked, y, k), strict=True))
-        return pd.DataFrame({"query_id": asked[q], "vec_id": ids[at], "score": score})
-
-    keys = ["dims", "asked", "block"]
-    near = a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInPandas(meet, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    spark, whole = vectors.sparkSession, "vec_id is not null and x is not null and not exists(x, v -> v is null)"
+    vectors = vectors.filter(whole).select(F.col("vec_id").cast("long").alias("vec_id"), "x")
+    queries = queries.filter(whole).select(F.col("vec_id").cast("long").alias("vec_id"), "x").groupBy("vec_id").agg(F.min("x").alias("x"))
+    order, found = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"), []
+    for asked in _passes(queries, numbers):
+        shared = spark.sparkContext.broadcast(asked)
+
+        def search(batches, shared=shared):
+            to = {x.shape[1]: Searcher(ids, x, k) for ids, x in shared.value}
+            held, size = {n: [] for n in to}, dict.fromkeys(to, 0)
+
+            def meet(n):
+                ids, x = (np.concatenate(c) for c in zip(*held[n], strict=True))
+                step = block if to[n].offered else first
+                for at in range(0, len(ids), step):
+                    to[n].add(ids[at : at + step], x[at : at + step])
+                held[n], size[n] = [], 0
+
+            for batch in batches:
+                for ids, x in _by_length(batch.column(0), batch.column(1)):
+                    n = x.shape[1]
+                    if n in to:
+                        held[n].append((ids, x))
+                        size[n] += len(ids)
+                        if size[n] >= (block if to[n].offered else first):
+                            meet(n)
+            for n in to:
+                if size[n]:
+                    meet(n)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in to[n].best()], ["query_id", "vec_id", "score"])
+
+        near = vectors.mapInArrow(search, "query_id long, vec_id long, score long")
+        found.append(near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"))
+    if len(found) > 1:  # each pass is a scan of its own
+        found = [cut(f) for f in found]
+    return functools.reduce(DataFrame.unionByName, found)
 
 
 def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,7 +190,7 @@ WITH v AS (
     AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
 ), s AS (
   SELECT q.vec_id AS query_id, c.vec_id,
-    CAST(list_sum(list_transform(list_zip(q.x, c.x), lambda p: p[1] * p[2])) AS BIGINT) AS score
+    CAST(coalesce(list_sum(list_transform(list_zip(q.x, c.x), lambda p: p[1] * p[2])), 0) AS BIGINT) AS score
   FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id AND len(q.x) = len(c.x)
 ), r AS (
   SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from kvlog.llm import decontam, simhash, topk
+from kvlog.llm import components, decontam, simhash, topk
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -53,6 +53,30 @@ def test_links_are_all_pairs(spark, block):
     found = simhash.links(spark.createDataFrame([(p,) for p in signed], "fp long"), block).collect()
     expected = {(a, b) for i, b in enumerate(signed) for a in signed[:i] if ((a ^ b) & (1 << 64) - 1).bit_count() <= 3}
     assert {tuple(r) for r in found} == expected and len(found) == len(expected)
+    met = {(r["a"], r["b"]): r["shared"] for r in simhash.tallied(spark.createDataFrame([(p,) for p in signed], "fp long"), block).collect()}
+    shared = lambda a, b: sum((a ^ b) >> 8 * k & 255 == 0 for k in range(8))
+    assert met == {(a, b): n for i, b in enumerate(signed) for a in signed[:i] if (n := shared(a, b)) >= 5} and len(met) > len(expected)
+
+
+@pytest.mark.parametrize("part", [4, 1 << 18])
+def test_components(spark, part):
+    rng = random.Random(part)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(1000 + i, 1001 + i) for i in range(60)] + [(5, 5), (None, 7), (7, None)] + [(2000, 2000 + i) for i in range(1, 50)]
+    root = {}
+    for a, b in edges:
+        if a is not None and b is not None and a != b:
+            ra, rb = root.setdefault(a, a), root.setdefault(b, b)
+            root = {k: min(ra, rb) if r in (ra, rb) else r for k, r in root.items()}
+    found = components.components(spark.createDataFrame(edges, "a long, b long").repartition(5), "a", "b", part=part).collect()
+    assert sorted(map(tuple, found)) == sorted(root.items())
+    assert components.components(spark.createDataFrame([], "a long, b long"), "a", "b").count() == 0
+
+
+def test_common_fingerprints_are_looked_up(spark, monkeypatch):
+    rows = [(i, "the same words here" if i % 2 else f"other words {i // 8} of this") for i in range(400)]
+    expected = sorted(map(tuple, simhash.near_duplicates(docs(spark, rows)).collect()))
+    monkeypatch.setattr(simhash, "BLOCK", 20)
+    assert sorted(map(tuple, simhash.near_duplicates(docs(spark, rows)).collect())) == expected and len(expected) == 400
 
 
 def test_near_duplicates(spark):
@@ -95,7 +119,7 @@ def slow_similar(text, item):
 def test_decontamination_equals_brute_force():
     rng = random.Random(5)
     word = lambda: "w" + str(rng.randrange(300))
-    items = [(i, " ".join(word() for _ in range(rng.choice([3, 8, 20, 40, 41])))) for i in range(25)]
+    items = [(i, " ".join(word() for _ in range(rng.choice([3, 5, 6, 7, 8, 12, 20, 40, 41])))) for i in range(25)]
     texts = []
     for k in range(150):
         words = [word() for _ in range(rng.randrange(80))]
@@ -118,18 +142,42 @@ def test_decontamination_frames(spark):
     assert decontam.contaminated(docs(spark, rows), bench.limit(0)).count() == 0 and decontam.contaminated(docs(spark, []), bench).count() == 0
 
 
+def best_by_force(x, q, own, k=10):
+    return sorted(((-int(x[c] @ q), c) for c in range(len(x)) if c != own))[:k]
+
+
 @pytest.mark.parametrize("n", [0, 1, 5, 400])
 def test_top_k(spark, n):
     rng = np.random.default_rng(n)
     x = rng.integers(-3, 4, (n, 6))  # few values, so that there are many ties
     rows = [(int(i), v.tolist()) for i, v in enumerate(x)]
-    frame = spark.createDataFrame([*rows, (9999, None), (None, [1] * 6), (7777, [1, 2])], "vec_id long, x array<long>")
-    found = topk.top_k(frame, frame.filter("vec_id % 100 = 0"), candidates=37, query_rows=2, least_blocks=3).collect()
-    expected = []
-    for q in range(0, n, 100):
-        best = sorted(((-int(x[q] @ x[c]), c) for c in range(n) if c != q))[:10]
-        expected += [(q, r, c, -s) for r, (s, c) in enumerate(best, 1)]
-    assert sorted(map(tuple, found)) == expected
+    frame = spark.createDataFrame([*rows, (9999, None), (None, [1] * 6), (7777, [1, 2]), (8888, [1, None])], "vec_id long, x array<long>")
+    expected = [(q, r, c, -s) for q in range(0, n, 100) for r, (s, c) in enumerate(best_by_force(x, x[q], q), 1)]
+    for numbers in (1 << 20, 8):
+        found = topk.top_k(frame, frame.filter("vec_id % 100 = 0"), block=37, first=11, numbers=numbers).collect()
+        assert sorted(map(tuple, found)) == expected
+
+
+def test_top_k_of_repeated_ids_empty_and_huge_vectors(spark):
+    frame = spark.createDataFrame([(1, [1, 2]), (1, [1, 3]), (2, [5, 0]), (2, [5, 0]), (3, []), (4, []), (5, [1 << 62, 1 << 62]), (6, [-(1 << 62), 7])], "vec_id long, x array<long>")
+    found = topk.top_k(frame, frame.filter("vec_id in (3, 5)")).collect()
+    most = (1 << 63) - 1
+    assert sorted(map(tuple, found)) == [(3, 1, 4, 0), (5, 1, 1, most), (5, 2, 1, most), (5, 3, 2, most), (5, 4, 2, most), (5, 5, 6, -most)]
+    asked = topk.top_k(frame, frame.filter("vec_id = 1 and x[1] = 2")).collect()
+    assert [(r[2], r[3]) for r in sorted(asked)] == [(5, most), (2, 5), (2, 5), (6, -(1 << 62) + 14)]
+
+
+@pytest.mark.parametrize(("dims", "most"), [(2, 0.35), (4, 0.6)])
+def test_threshold_stops_early_where_it_can(dims, most):
+    rng = np.random.default_rng(dims)
+    x = np.floor(1024 * rng.normal(size=(9000, dims))).astype(np.int64)
+    asked = np.arange(0, 9000, 300)
+    searcher = topk.Searcher(asked, x[asked])
+    for at in range(0, 9000, 1500):
+        searcher.add(np.arange(at, at + 1500), x[at : at + 1500])
+    for k, q in enumerate(asked.tolist()):
+        assert [(-int(s), int(i)) for s, i in zip(searcher.scores[k], searcher.ids[k], strict=True)] == best_by_force(x, x[q], q)
+    assert searcher.scored / searcher.offered < most
 
 
 def test_quantised(spark):
