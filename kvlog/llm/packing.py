@@ -4,7 +4,9 @@ Items wait in a bounded pool of one task. The open sequence takes the item that
 the largest dot product of its own vector with what is left of the limits, each dimension in
 units of its limit. Where no whole item fits and cutting is allowed, it takes the beginning of
 the item with the largest dot product, and the rest goes back to the pool. No shuffle is
-needed: each input partition fills its own sequences, all but its last to the brim.
+needed: each input partition fills its own sequences, all but its last to the brim. All tokens
+of a plain document bear loss; of instruction data only those of the answers do, so that the
+three limits differ.
 """
 
 from __future__ import annotations
@@ -124,50 +126,81 @@ class VectorPacker:
         return out
 
 
-def pack_documents(docs: DataFrame, path: str, limits: Limits = Limits(), end: int = END) -> DataFrame:
-    """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset) of each piece of `docs`
-    (doc_id, text), tokenised with the vocabulary file at `path`, each document ended by `end`.
+_PIECES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
-    All tokens of a document bear loss. Every id lies in one piece; a null or empty text is the
-    end alone. A null doc_id stays null; repeated rows are packed each; no rows give none.
-    sequence_id joins the number of the input partition and that of the sequence within it, so
-    a task that runs again gives the same sequences.
-    """
-    small_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(load(path))
-    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+
+def _packed(texts: DataFrame, path: str, limits: Limits, cut: bool, end: int, loss: bool) -> DataFrame:
+    """The pieces of `texts` (doc_id, text, text): what bears no loss, and what does. With `loss` also
+    the loss-bearing tokens of each piece."""
+    small_batches(texts.sparkSession)
+    shared = texts.sparkSession.sparkContext.broadcast(load(path))
+    names = [*_PIECES, "loss_tokens"] if loss else _PIECES
 
     def pack(batches):
-        vocabulary, packer = Vocabulary(*shared.value), VectorPacker(limits)
+        vocabulary, packer = Vocabulary(*shared.value), VectorPacker(limits, cut)
         base, last = TaskContext.get().partitionId() << 33, end.to_bytes(4, "little")
-        waiting: dict[int, list] = {}  # item: its doc_id, ids, and tokens not yet placed
+        waiting: dict[int, list] = {}  # item: its doc_id, ids, tokens of the prompt, and tokens not yet placed
 
         def rows(pieces):
             cols = [[] for _ in names]
             for p in pieces:
-                doc = waiting[p.item]
-                crc = zlib.crc32(doc[1][4 * p.start : 4 * (p.start + p.length)])
-                for c, x in zip(cols, (doc[0], p.start, p.length, crc, len(doc[1]) // 4, base + p.sequence, p.offset), strict=True):
+                doc_id, ids, prompt, _ = doc = waiting[p.item]
+                crc = zlib.crc32(ids[4 * p.start : 4 * (p.start + p.length)])
+                row = doc_id, p.start, p.length, crc, len(ids) // 4, base + p.sequence, p.offset, p.start + p.length - max(p.start, min(prompt, p.start + p.length))
+                for c, x in zip(cols, row, strict=False):
                     c.append(x)
-                doc[2] -= p.length
-                if not doc[2]:
+                doc[3] -= p.length
+                if not doc[3]:
                     del waiting[p.item]
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names)
 
         item = 0
         for batch in batches:
             done = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = vocabulary.encode(text or "") + last
-                waiting[item] = [doc_id, ids, len(ids) // 4]
-                done += packer.add(item, len(ids) // 4)
+            for doc_id, free, bearing in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                prompt = vocabulary.encode(free or "")
+                ids = prompt + vocabulary.encode(bearing or "") + last
+                waiting[item] = [doc_id, ids, len(prompt) // 4, len(ids) // 4]
+                done += packer.add(item, len(ids) // 4, (len(ids) - len(prompt)) // 4)
                 item += 1
             if done:
                 yield rows(done)
         yield rows(packer.finish())
 
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return docs.mapInArrow(pack, ", ".join(f"{n} long" for n in names))
+    return texts.mapInArrow(pack, ", ".join(f"{n} long" for n in names))
+
+
+def pack_documents(docs: DataFrame, path: str, limits: Limits = Limits(), end: int = END) -> DataFrame:
+    """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset) of each piece of `docs`
+    (doc_id, text), tokenised with the vocabulary file at `path`, each document ended by `end`.
+
+    All tokens of a document bear loss. Every id lies in one piece; a null or empty text is the
+    end alone. A null doc_id stays null; repeated rows are packed each; no rows give none.
+    sequence_id joins the number of the input partition and that of the sequence within it: a
+    task that runs again gives the same sequences if it reads its rows in the same order, as
+    from files.
+    """
+    text = F.col("text").cast("string")
+    return _packed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit("").alias("free"), text.alias("bearing")), path, limits, True, end, False)
+
+
+def pack_examples(examples: DataFrame, path: str, limits: Limits = Limits(loss_tokens=512, segments=64), cut: bool = True, end: int = END) -> DataFrame:
+    """The pieces of `examples` (doc_id, prompt, answer) as pack_documents gives them, and loss_tokens,
+    those of each piece that bear loss: the answer's and the end. No sequence exceeds any of the
+    limits. Without `cut` no example is cut, and one that fits no sequence is an error."""
+    return _packed(examples.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("prompt").cast("string").alias("prompt"), F.col("answer").cast("string").alias("answer")), path, limits, cut, end, True)
+
+
+def conversation_examples(conversations: DataFrame) -> DataFrame:
+    """(doc_id, prompt, answer) of each row of `conversations` (conv_id, turn, role, text) that an
+    assistant has said: doc_id is that of the conversation, the prompt is what any others said in
+    the turn before, nothing if none did. The two meet by conversation and turn, so one long
+    conversation is many tasks' work. Null texts are empty; rows without a conversation or turn
+    take no part; a repeated turn answers or is answered each."""
+    rows = conversations.filter("conv_id is not null and turn is not null").select("conv_id", F.col("turn").cast("long").alias("turn"), (F.col("role") == "assistant").alias("own"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    asked = rows.filter(~F.coalesce("own", F.lit(False))).select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("prompt"))
+    said = rows.filter("own").join(asked, ["conv_id", "turn"], "left")
+    return said.select(F.col("conv_id").cast("long").alias("doc_id"), F.coalesce("prompt", F.lit("")).alias("prompt"), F.col("text").alias("answer"))
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
