@@ -31,6 +31,8 @@ RADIUS = 23
 #: Characters of items that are looked for in one pass over the documents; what the driver holds
 #: and sends out is bounded by this, and a larger benchmark takes more passes.
 PASS_CHARS = 16 << 20
+#: Windows of a text that are fingerprinted at once.
+RUN = 1 << 14
 
 _WORD = re.compile(r"\w+")
 _NEAR = [np.array([v for v in range(256) if (v ^ x).bit_count() <= 2]) for x in range(256)]
@@ -75,6 +77,13 @@ def _isin(x: np.ndarray, known: np.ndarray) -> np.ndarray:
     return known[np.minimum(np.searchsorted(known, x), len(known) - 1)] == x
 
 
+def _runs(starts: np.ndarray, apart: int) -> list[np.ndarray]:
+    """The starts in runs without a gap of over `apart`, and of RUN starts at most, so that what a run
+    needs does not grow with the text."""
+    found = np.split(starts, np.flatnonzero(np.diff(starts) > apart) + 1) if len(starts) else []
+    return [r[at : at + RUN] for r in found for at in range(0, len(r), RUN)]
+
+
 def similarity(a: Counter, b: Counter) -> float:
     """Weighted Jaccard similarity: least over greatest weights."""
     both = sum(min(n, b[s]) for s, n in a.items() if s in b)
@@ -153,7 +162,7 @@ class Items:
             held[1 + hits[width][0][_isin(hits[width][1], self.own[width, size])]] = 1
             held = np.cumsum(held)
             starts = np.flatnonzero(held[m:] - held[: n - m + 1] >= least)
-            for group in np.split(starts, np.flatnonzero(np.diff(starts) > 4 * m + 64) + 1) if len(starts) else []:
+            for group in _runs(starts, 4 * m + 64):
                 low, high = int(group[0]), int(group[-1]) + m
                 shingles = _shingles(_word_hashes(words[low : high + width - 1]), width)
                 sums = np.cumsum(np.concatenate([np.zeros((1, 64), np.int32), _signs(shingles)]), axis=0)

@@ -2,8 +2,9 @@
 
 A file is a skippable frame with the dictionary, then one Zstandard frame for each record. The
 dictionary is trained on records of the file itself. Pages with equal payloads are archived
-once; the others are revisit records. Files have names that follow from the partition, and rows
-within one are ordered, so a task that runs again writes the same file again.
+once; the others are revisit records. Files have names that follow from the partition and the
+attempt; the manifest names those of the attempts that counted, so a task that runs again, or
+twice at once, neither overwrites a file nor leaves one that is read.
 """
 
 from __future__ import annotations
@@ -26,8 +27,9 @@ from .common import cut, fresh_dir, small_batches, table
 #: Skippable frame that holds the dictionary, by the public WARC-Zstandard proposal.
 DICTIONARY_FRAME = 0x184D2A5D
 DICTIONARY_BYTES = 64 << 10
-#: Bytes of evenly spaced records that a dictionary is trained on, and of records in a file.
-TRAINING_BYTES, FILE_BYTES = 2 << 20, 32 << 20
+#: Bytes of evenly spaced records that a dictionary is trained on, the most of one of them (what
+#: follows is archived like all else, but not trained on), and bytes of records in a file.
+TRAINING_BYTES, TRAINING_RECORD, FILE_BYTES = 2 << 20, 128 << 10, 32 << 20
 LEVEL = 6
 DATE = "2024-01-01T00:00:00Z"
 URN = "urn:x-page:"
@@ -70,7 +72,7 @@ def train(records: list[bytes]) -> zstandard.ZstdCompressionDict | None:
     """None where there is too little to learn from; such a file has no dictionary frame."""
     total, step = sum(map(len, records)), 1
     step = max(1, -(-total // TRAINING_BYTES))
-    sample = [r[:131072] for r in records[::step]]
+    sample = [r[:TRAINING_RECORD] for r in records[::step]]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, sample, k=512, d=8, level=LEVEL)
     except zstandard.ZstdError:
@@ -149,12 +151,10 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
         part, held, size, files = TaskContext.get().partitionId(), [], 0, 0
 
         def flush():
-            path = f"{root}/part-{part:06d}-{files:04d}.warc.zst"
+            path = f"{root}/part-{part:06d}-{TaskContext.get().taskAttemptId()}-{files:04d}.warc.zst"
             data = archive(held)
-            own = f"{path}.{TaskContext.get().taskAttemptId()}.tmp"
-            with fs.open_output_stream(own, compression=None) as f:
+            with fs.open_output_stream(path, compression=None) as f:
                 f.write(data)
-            fs.move(own, path)
             return pa.RecordBatch.from_pydict({"path": [path], "records": [len(held)], "bytes": [len(data)]})
 
         for batch in batches:
