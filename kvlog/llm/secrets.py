@@ -23,8 +23,8 @@ ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]+"
 #: A run too short to judge is no candidate; a ratio per pair, in thousandths, at or under the
-#: least is no secret.
-SHORTEST, LEAST = 20, 700
+#: least is no secret: of samples set aside it leaves 1 in 100 random strings and takes no identifier.
+SHORTEST, LEAST = 20, 500
 RUN, PART = rf"[A-Za-z0-9+/_-]{{{SHORTEST},}}", rf"[A-Za-z0-9+]{{{SHORTEST},}}"
 #: Elements of an array that are scanned in one go, and code points of a text that are rewritten so.
 STEP, PIECE = 256, 4096

@@ -34,8 +34,8 @@ SAMPLE, LEAST = 2000, 15
 ASIDE = 5
 #: Parts of a unit that raw scores are counted in for the thresholds, and the largest counted as itself.
 PARTS, LARGEST = 4, 16
-#: Rows that training goes through at least, over and over where there are fewer; passes at least.
-STEPS, PASSES = 8000, 4
+#: Rows that training goes through, over and over, but in so many passes at least and at most.
+STEPS, PASSES, MOST_PASSES = 8000, 4, 40
 #: The share of words that a training step does not see.
 HIDDEN = 0.5
 #: A share of the clean texts that is called toxic weighs as much as this many of the toxic ones missed.
@@ -167,7 +167,7 @@ def fit(rows: list[tuple[int, str | None]], seed: int = 11) -> Network | None:
     weight = np.where(y > 0, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum())) * len(y)
     params = [net.embedding, *net.filters, *net.filter_bias, net.weights, net.bias]
     first, second, t = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
-    for _ in range(max(PASSES, STEPS // len(rows))):
+    for _ in range(max(PASSES, min(MOST_PASSES, STEPS // len(rows)))):
         order = rng.permutation(len(rows))
         for low in range(0, len(order), 32):
             own = order[low : low + 32]
