@@ -57,13 +57,22 @@ def map_header(n: Column, version: Column) -> Column:
 
 
 def double_text(x: Column) -> Column:
-    """The shortest text that reads back as the same double: whole numbers without a fraction."""
-    spelled = F.when(F.isnan(x), "nan").when(x == float("inf"), "inf").when(x == float("-inf"), "-inf")
-    plain = F.regexp_replace(x.cast("string"), r"\.0$", "")
-    small = F.regexp_replace(F.regexp_replace(x.cast("string"), r"\.0E", "E"), r"E(-?)(\d)$", "e$10$2")
-    small = F.regexp_replace(F.regexp_replace(small, "E", "e"), r"e(\d)", "e+$1")
-    whole = F.when(F.abs(x) < 1e18, x.cast("decimal(38,0)").cast("string"))
-    return F.coalesce(spelled, F.when((x == F.floor(x)) & (F.abs(x) >= 1e7) & (F.abs(x) < 1e18), whole), F.when(x.cast("string").contains("E"), small).otherwise(plain))
+    """The shortest digits that read back as the same double; with an exponent of two digits or more
+    below the fourth place after the point and from a million upwards, plainly in between."""
+    parts = F.split(F.abs(x).cast("string"), "E")
+    mantissa, e = F.element_at(parts, 1), F.coalesce(F.get(parts, F.lit(1)).cast("int"), F.lit(0))
+    every = F.regexp_replace(mantissa, r"\.", "")
+    tail = F.regexp_replace(every, "^0+", "")
+    digits = F.regexp_replace(tail, "0+$", "")
+    exp = e + F.length(F.substring_index(mantissa, ".", 1)) - 1 - (F.length(every) - F.length(tail))
+    n, after = F.length(digits), F.abs(exp).cast("string")
+    fraction = lambda at: F.when(n > at, F.concat(F.lit("."), F.substring(digits, at + 1, n))).otherwise(F.lit(""))
+    sized = F.concat(F.substring(digits, 1, 1), fraction(F.lit(1)), F.when(exp < 0, "e-").otherwise("e+"), F.when(F.length(after) < 2, F.concat(F.lit("0"), after)).otherwise(after))
+    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -exp - 1), digits)
+    plain = F.concat(F.rpad(F.substring(digits, F.lit(1), exp + 1), exp + 1, "0"), fraction(exp + 1))
+    spelled = F.when(x == 0, F.lit("0")).when((exp < -4) | (exp >= 6), sized).when(exp < 0, small).otherwise(plain)
+    sign = F.when(x.cast("string").startswith("-"), F.lit("-")).otherwise(F.lit(""))
+    return F.when(F.isnan(x), "nan").when(x == float("inf"), "inf").when(x == float("-inf"), "-inf").otherwise(F.concat(sign, spelled))
 
 
 def double(x: Column, version: Column) -> Column:
@@ -87,6 +96,11 @@ class DecodeLimits:
         return own if own > 0 else getattr(DecodeLimits(), name)
 
 
+# What clients are told of a malformed frame.
+TOO_LONG = {"bulk": "bulk length exceeds configured limit", "array": "multibulk count exceeds configured limit"}
+ENDS = ("end", "truncated", "transport")
+
+
 class BadFrame(Exception):
     pass
 
@@ -99,45 +113,45 @@ def _line(data: bytes, at: int, limits: DecodeLimits) -> tuple[bytes, int]:
     end = data.find(b"\n", at, at + limits.of("header"))
     if end < 0:
         if len(data) - at >= limits.of("header"):
-            raise BadFrame("header too long")
+            raise BadFrame("header line exceeds limit")
         raise _Short
     if end == at or data[end - 1 : end] != b"\r":
-        raise BadFrame("line without CRLF")
+        raise BadFrame("expected CRLF terminator")
     return data[at : end - 1], end + 1
 
 
 def _length(text: bytes, most: int, what: str) -> int:
     if not text.isdigit() or not text.isascii() or text != b"0" and text[:1] == b"0":
-        raise BadFrame(f"invalid {what} length")
+        raise BadFrame("invalid length")
     if int(text) > most:
-        raise BadFrame(f"{what} too large")
+        raise BadFrame(TOO_LONG[what])
     return int(text)
 
 
 def decode(data: bytes, limits: DecodeLimits = DecodeLimits()) -> list[tuple[int, list[bytes] | None, str]]:
     """(bytes consumed so far, arguments, outcome) of each command of a buffer. The outcome is
-    ok, or, of the last, truncated or the kind of error. Sizes are checked before they are read."""
+    ok, or, of the last, truncated or what is wrong. Sizes are checked before they are read."""
     out, at = [], 0
     while at < len(data):
         start = at
         try:
             if data[at : at + 1] != b"*":
-                raise BadFrame("not an array")
+                raise BadFrame("expected '*' array header")
             head, at = _line(data, at, limits)
             args = []
             for _ in range(_length(head[1:], limits.of("array"), "array")):
                 if at >= len(data):
                     raise _Short
                 if data[at : at + 1] != b"$":
-                    raise BadFrame("not a bulk string")
+                    raise BadFrame("expected '$' bulk-string header")
                 head, at = _line(data, at, limits)
                 size = _length(head[1:], limits.of("bulk"), "bulk")
                 if len(data) < at + size + 2:
                     if len(data) > at + size and data[at + size : at + size + 1] != b"\r":
-                        raise BadFrame("bulk without CRLF")
+                        raise BadFrame("expected CRLF terminator")
                     raise _Short
                 if data[at + size : at + size + 2] != b"\r\n":
-                    raise BadFrame("bulk without CRLF")
+                    raise BadFrame("expected CRLF terminator")
                 args.append(data[at : at + size])
                 at += size + 2
             out.append((at, args, "ok"))
@@ -159,3 +173,14 @@ def decoded(frames: DataFrame, limits: DecodeLimits = DecodeLimits()) -> DataFra
             yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], k) for c, k in enumerate(kinds)], ["id", "pos", "consumed", "args", "outcome"])
 
     return frames.select(F.col("id").cast("long"), F.col("frame").cast("binary")).mapInArrow(run, "id long, pos long, consumed long, args array<binary>, outcome string")
+
+
+def disposition(outcome: Column) -> Column:
+    """What a server does after reading: dispatch the command, close silently where input ends, in
+    the middle of a command or not, or fails, or tell what is wrong and then close."""
+    return F.when(outcome == "ok", "dispatch").when(outcome.isin(*ENDS), "close").otherwise("error then close")
+
+
+def protocol_error(outcome: Column) -> Column:
+    """The reply to a malformed frame; null where there is none."""
+    return F.when(disposition(outcome) == "error then close", error(F.concat(F.lit("ERR Protocol error: "), outcome)))

@@ -7,7 +7,7 @@ import math
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 NUMBER = r"^\s*[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?\s*$"
@@ -111,6 +111,31 @@ def median_hit_run(runs: DataFrame) -> DataFrame:
     return rated.join(mid, "experiment").groupBy("experiment").agg(F.min_by("run_id", F.struct(F.abs(F.col("ratio") - F.col("mid")), F.col("run_id"))).alias("run_id"))
 
 
+#: What names one configuration of the rig; its rows are the repeats.
+CONFIGURATION = ("experiment", "subject", "cores", "data_size", "rate")
+
+
+def gated(runs: DataFrame, line_mbps: int = 25000, least_cpu: int = 65) -> DataFrame:
+    """Of each configuration of `runs` (CONFIGURATION, run_id, ops, failed, srv_cpu, cli_cpu, srv_nic,
+    cli_nic, srv_mbps, cli_mbps and more) the run nearest its median rate, of equals the first,
+    with cov, the spread of the repeats, and what its validity is: one failed or idle repeat
+    fails it; then come a busy client, a busy network on either side by its own measure or by
+    eight tenths of the line rate, a server that unlimited load leaves idle, and the spread."""
+    mid = runs.groupBy(*CONFIGURATION).agg(F.median("ops").alias("_mid"), F.coalesce(F.stddev_pop("ops") / F.nullif(F.avg("ops"), F.lit(0.0)), F.lit(0.0)).alias("cov"), F.bool_or(F.col("failed") | (F.col("ops") == 0)).alias("_broken"))
+    near = runs.join(mid, list(CONFIGURATION)).withColumn("_apart", F.abs(F.col("ops") - F.col("_mid")))
+    one = near.groupBy(*CONFIGURATION).agg(F.min_by(F.struct(*[c for c in near.columns if c not in CONFIGURATION]), F.struct("_apart", "run_id")).alias("r")).select(*CONFIGURATION, "r.*")
+    hot = lambda side: (F.col(f"{side}_nic") >= 80) | (F.col(f"{side}_mbps") >= 0.8 * line_mbps)
+    valid = (
+        F.when(F.col("_broken"), "memtier-failed")
+        .when(F.col("cli_cpu") >= 85, "rig-limited:client-cpu")
+        .when(hot("srv") | hot("cli"), "rig-limited:nic")
+        .when((F.col("rate") == 0) & (F.col("srv_cpu") < least_cpu), f"under-generated:srv-cpu<{least_cpu}")
+        .when(F.col("cov") > 0.05, "noisy:cov>5%")
+        .otherwise("valid")
+    )
+    return one.withColumn("valid", valid).drop("_mid", "_broken", "_apart")
+
+
 def cpu_list(text: Column) -> Column:
     """The numbers of a list such as 0,2,4-7, each once, ascending."""
     parts = F.filter(F.transform(F.split(text, ","), lambda p: F.trim(p)), lambda p: p != "")
@@ -118,50 +143,124 @@ def cpu_list(text: Column) -> Column:
     return F.array_sort(F.array_distinct(F.flatten(F.transform(ends, lambda e: F.sequence(F.element_at(e, 1).cast("int"), F.element_at(e, -1).cast("int"))))))
 
 
+def sections(lines: DataFrame) -> DataFrame:
+    """`lines` (file, n, line) with `section`, the name of the @@NAME@@ line last above them; lines
+    above the first such line, and these lines themselves, are left out."""
+    name = F.regexp_extract("line", "^@@(MPSTAT|SAR|SI1|SI2)@@$", 1)
+    order = Window.partitionBy("file").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
+    marked = lines.withColumn("_name", F.when(name != "", name)).withColumn("section", F.last("_name", ignorenulls=True).over(order))
+    return marked.filter("section is not null and _name is null").drop("_name")
+
+
 def mpstat(lines: DataFrame) -> DataFrame:
-    """(core, busy) of the rows of `lines` (line) that give averages: 100 less the idle share, in
-    hundredths of a percent; the row of all cores is not one."""
+    """(file, core, busy) of the rows of `lines` (file, n, line) that give averages: 100 less the idle
+    share; the row of all cores is core -1."""
     cols = F.split(F.trim("line"), r"\s+")
-    rows = lines.filter(F.trim("line").startswith("Average:")).select(F.element_at(cols, 2).alias("core"), F.element_at(cols, -1).alias("idle"))
-    return rows.filter(F.col("core").rlike(r"^\d+$") & F.col("idle").rlike(NUMBER)).select(F.col("core").cast("long").alias("core"), (10000 - F.round(F.col("idle").cast("decimal(10,4)") * 100)).cast("long").alias("busy"))
+    rows = lines.filter(F.trim("line").startswith("Average:")).select("file", F.get(cols, F.lit(1)).alias("core"), to_number(F.element_at(cols, -1)).alias("idle"))
+    core = F.when(F.col("core") == "all", F.lit(-1)).when(F.col("core").rlike(r"^\d+$"), F.col("core").cast("long"))
+    return rows.select("file", core.cast("long").alias("core"), (100 - F.col("idle")).alias("busy")).filter("core is not null and busy is not null")
 
 
 def sar(lines: DataFrame) -> DataFrame:
-    """(iface, rx_bits, tx_bits), bits a second, of the busiest interface that is not the loopback, from
-    the averages of `lines` (n, line); columns go by the names of the header."""
-    rows = lines.filter(F.trim("line").startswith("Average:")).select("n", F.split(F.trim("line"), r"\s+").alias("c"))
-    head = rows.filter(F.array_contains("c", "IFACE")).orderBy("n").limit(1).select(*[F.array_position("c", n).cast("int").alias(k) for k, n in (("i", "IFACE"), ("r", "rxkB/s"), ("t", "txkB/s"))])
-    value = lambda at: (F.element_at("c", F.col(at)).try_cast("decimal(18,3)") * 8000).cast("long")
-    found = rows.filter(~F.array_contains("c", "IFACE")).crossJoin(F.broadcast(head)).select(F.element_at("c", F.col("i")).alias("iface"), value("r").alias("rx_bits"), value("t").alias("tx_bits"))
-    return found.filter("iface <> 'lo' and rx_bits is not null").orderBy(F.desc(F.greatest("rx_bits", "tx_bits")), "iface").limit(1)
+    """(file, iface, rx_mbps, tx_mbps, util) of the busiest interface that is not the loopback, of equals
+    the first, from the averages of `lines` (file, n, line); columns go by the names of the header."""
+    split = lines.select("file", "n", F.split(F.trim("line"), r"\s+").alias("c"))
+    head = split.filter(F.array_contains("c", "IFACE") & F.array_contains("c", "rxkB/s")).groupBy("file").agg(F.max_by("c", "n").alias("head"))
+    value = lambda name: to_number(F.get("c", (F.array_position("head", name) - 1).cast("int")))
+    at = lambda name: F.array_position("head", name)
+    rows = split.filter((F.get("c", F.lit(0)) == "Average:") & ~F.array_contains("c", "IFACE")).join(head, "file")
+    found = rows.select("file", "n", F.get("c", (at("IFACE") - 1).cast("int")).alias("iface"), (value("rxkB/s") * 8 / 1000).alias("rx_mbps"), (value("txkB/s") * 8 / 1000).alias("tx_mbps"), F.when(at("%ifutil") > 0, value("%ifutil")).otherwise(F.lit(0.0)).alias("util"))
+    found = found.filter("iface <> 'lo' and rx_mbps is not null and tx_mbps is not null and util is not null")
+    best = F.max_by(F.struct("iface", "rx_mbps", "tx_mbps", "util"), F.struct(F.col("rx_mbps") + F.col("tx_mbps"), -F.col("n")))
+    return found.groupBy("file").agg(best.alias("b")).select("file", "b.*")
 
 
 def softirq(before: DataFrame, after: DataFrame) -> DataFrame:
-    """(delta): what the receive and transmit counters of all cores have gained."""
+    """(file, delta): what the receive and transmit counters of all cores have gained between two sets
+    of lines (file, line)."""
 
-    def total(lines):
+    def total(lines, sign):
         cols = F.split(F.trim("line"), r"\s+")
-        return lines.filter(F.trim("line").rlike("^NET_(RX|TX):")).select(F.explode(F.slice(cols, 2, F.size(cols) - 1)).alias("x")).agg(F.coalesce(F.sum(F.col("x").try_cast("bigint")), F.lit(0)).alias("s"))
-
-    return total(after).alias("a").crossJoin(total(before).alias("b")).select((F.col("a.s") - F.col("b.s")).alias("delta"))
-
-
-def human_bytes(n: int) -> str:
-    for unit in ("B", "KiB", "MiB", "GiB"):
-        if abs(n) < 1024 or unit == "GiB":
-            return f"{n:.1f}{unit}" if unit != "B" else f"{n}B"
-        n /= 1024
-    raise AssertionError
-
-
-def markdown(df: DataFrame, columns: list[str], order: list[Column]) -> DataFrame:
-    """One row, one column `table`: the rows as a table, in the given order, "-" for nulls. Reports
-    are small: a row for each configuration."""
+        return lines.filter(F.trim("line").rlike("^NET_(RX|TX)")).select("file", F.explode(F.slice(cols, 2, F.size(cols) - 1)).alias("x")).filter(F.col("x").rlike("^[0-9]+$")).select("file", (F.col("x").cast("long") * sign).alias("x"))
+
+    return total(after, 1).unionByName(total(before, -1)).groupBy("file").agg(F.sum("x").alias("delta"))
+
+
+def host_stats(lines: DataFrame, pinned: str) -> DataFrame:
+    """(file, cpu_avg, cpu_max, cpu_pinned, nic_rx_mbps, nic_tx_mbps, nic_util, softirq_net) of the
+    sections of each file of `lines` (file, n, line), to one decimal; cpu_pinned is the mean over
+    the cores of the list that are there, or of all if none is. What is missing is 0."""
+    parts = sections(lines)
+    of = lambda name: parts.filter(F.col("section") == name)
+    own = F.when(F.array_contains(cpu_list(F.lit(pinned)), F.col("core").cast("int")), F.col("busy"))
+    cpu = mpstat(of("MPSTAT")).groupBy("file").agg(F.max(F.when(F.col("core") < 0, F.col("busy"))).alias("a"), F.max(F.when(F.col("core") >= 0, F.col("busy"))).alias("m"), F.avg(own).alias("p"))
+    rows = lines.select("file").distinct().join(cpu, "file", "left").join(sar(of("SAR")), "file", "left").join(softirq(of("SI1"), of("SI2")), "file", "left")
+    tenth = lambda *c: F.round(F.coalesce(*map(F.col, c), F.lit(0.0)), 1)
+    return rows.select("file", tenth("a").alias("cpu_avg"), tenth("m").alias("cpu_max"), tenth("p", "a").alias("cpu_pinned"), tenth("rx_mbps").alias("nic_rx_mbps"), tenth("tx_mbps").alias("nic_tx_mbps"), tenth("util").alias("nic_util"), F.coalesce("delta", F.lit(0)).alias("softirq_net"))
+
+
+def parse_load(files: DataFrame) -> DataFrame:
+    """(file, ops, p50, p99, p999, p9999, hit_ratio, error) of `files` (file, content), JSON of the rig's
+    load generator. Hits and misses are those of the totals, else those of the reads; without
+    either there is no hit ratio. A file that cannot be read, or has no p99.90, is the placeholder
+    of a run without operations, and the error."""
+    late = "struct<`p50.00`:double,`p99.00`:double,`p99.90`:double,`p99.99`:double>"
+    kind = f"struct<`ALL STATS`:struct<Totals:struct<`Ops/sec`:double,`Hits/sec`:double,`Misses/sec`:double,`Percentile Latencies`:{late}>,Gets:struct<`Hits/sec`:double,`Misses/sec`:double>>>"
+    stats = F.from_json("content", kind)["ALL STATS"]
+    rows = files.select("file", stats["Totals"].alias("t"), stats["Gets"].alias("g"))
+    field = lambda of, name: F.col(of)[name]
+    whole = field("t", "Hits/sec").isNotNull()
+    hits, misses = (F.when(whole, field("t", f"{k}/sec")).otherwise(field("g", f"{k}/sec")) for k in ("Hits", "Misses"))
+    pct = F.col("t")["Percentile Latencies"]
+    wrong = F.when(F.col("t").isNull(), "malformed").when(pct["p99.90"].isNull(), "no p99.90")
+    good = lambda c: F.when(wrong.isNull(), c)
+    spelled = [good(pct[f"p{k}"]).alias(n) for k, n in (("50.00", "p50"), ("99.00", "p99"), ("99.90", "p999"), ("99.99", "p9999"))]
+    return rows.select("file", F.coalesce(good(F.bround(field("t", "Ops/sec"), 0)).cast("long"), F.lit(0)).alias("ops"), *spelled, good(F.when(hits + misses > 0, F.round(hits / (hits + misses), 4))).alias("hit_ratio"), wrong.alias("error"))
+
+
+def clamped(specs: DataFrame, cores: int, counts: list[str]) -> DataFrame:
+    """`specs` (cores and more) with cores and the named counts no more than a server has, and `pinned`,
+    the list of the cores that are used."""
+    fit = {c: F.least(F.col(c), F.lit(cores)) for c in ("cores", *counts)}
+    return specs.withColumns({**fit, "pinned": F.concat(F.lit("0-"), (fit["cores"] - 1).cast("string"))})
+
+
+def render_table(results: DataFrame, skipped: DataFrame, order: list[str]) -> DataFrame:
+    """(rendered): one row, a table of seven columns of `results` (subject, get_rps, set_rps, hit_ratio,
+    p50, p99, p999), subjects in the given order and others after them by name, with a footnote of
+    the subjects that were `skipped`, if any. A rate, ratio or latency that is null, and a
+    latency that is not above zero, is a dash."""
+    dash = F.lit("\u2014")
+    fixed = lambda x, n: F.bround(F.col(x).cast("decimal(38,12)"), n).cast(f"decimal(38,{n})").cast("string")
+    late = lambda x: F.when(F.col(x) > 0, fixed(x, 3)).otherwise(dash)
+    cells = ["subject", *[F.coalesce(fixed(c, n), dash) for c, n in (("get_rps", 0), ("set_rps", 0), ("hit_ratio", 4))], late("p50"), late("p99"), late("p999")]
+    place = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, order)), F.col("subject")), F.lit(0)), F.lit(len(order) + 1))
+    lines = results.select(F.struct(place, "subject", F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |\n")).alias("line")).alias("r")).agg(F.array_join(F.transform(F.array_sort(F.collect_list("r")), lambda r: r["line"]), "").alias("body"))
+    notes = skipped.agg(F.array_join(F.array_sort(F.collect_list("subject")), ", ").alias("names"))
+    head = "| Server | GET rps | SET rps | Hit ratio | GET p50 ms | GET p99 ms | p99.9 ms |\n| --- | ---: | ---: | ---: | ---: | ---: | ---: |\n"
+    note = F.when(F.col("names") != "", F.concat(F.lit("\n_Skipped (tooling unavailable): "), "names", F.lit("._\n"))).otherwise("")
+    return lines.crossJoin(notes).select(F.concat(F.lit(head), "body", note).alias("rendered"))
+
+
+def human_bytes(n: Column) -> Column:
+    """Whole gigabytes as such, else whole megabytes, as tools take them."""
+    unit = F.when(n % (1 << 30) == 0, F.struct(F.lit(30).alias("bits"), F.lit("gb").alias("name"))).otherwise(F.struct(F.lit(20).alias("bits"), F.lit("m").alias("name")))
+    return F.concat(F.floor(n / F.pow(F.lit(2.0), unit["bits"])).cast("string"), unit["name"])
+
+
+def markdown(df: DataFrame, columns: list[tuple[str, str]], order: list[Column]) -> DataFrame:
+    """One row, one column `rendered`: the rows as a table of (column, title), in the given order, "-" for
+    nulls. Reports are small: a row for each configuration."""
     line = lambda cells: F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |"))
-    rows = df.select(F.struct(*order).alias("_o"), line([F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in columns]).alias("_line"))
+    rows = df.select(F.struct(*order).alias("_o"), line([F.coalesce(F.col(c).cast("string"), F.lit("-")) for c, _ in columns]).alias("_line"))
     lines = F.transform(F.array_sort(F.collect_list(F.struct("_o", "_line"))), lambda x: x["_line"])
-    head = line([F.lit(c) for c in columns]), line([F.lit("---") for _ in columns])
-    return rows.agg(F.array_join(F.concat(F.array(*head), lines), "\n").alias("table"))
+    head = "| " + " | ".join(t for _, t in columns) + " |", "|" + "|".join("---" for _ in columns) + "|"
+    return rows.agg(F.array_join(F.concat(F.array(*map(F.lit, head)), lines), "\n").alias("rendered"))
+
+
+def fixed(text: Column, places: int) -> Column:
+    """A number to so many places; "-" where the text is none."""
+    return F.coalesce(F.bround(to_number(text).cast("decimal(38,12)"), places).cast(f"decimal(38,{places})").cast("string"), F.lit("-"))
 
 
 def read_results(spark: SparkSession, path: str) -> DataFrame:

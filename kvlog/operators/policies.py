@@ -10,16 +10,22 @@ from __future__ import annotations
 import hashlib
 from collections import OrderedDict
 from dataclasses import dataclass
+from itertools import groupby
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
-from .replay import ENTRY
+from .replay import BLOCK, ENTRY
 from .sketch import Frequencies, mix, sketch_size
 
 POLICIES = ("noeviction", "allkeys-random", "allkeys-lfu")
-DRAWS, FRUITLESS = 5, 100
+#: Candidates of an eviction, the draws that look for them, and evictions in vain before it gives up.
+DRAWS, TRIES, FRUITLESS = 5, 8 * 5 + 16, 100
 
 
 def parse_policy(name: str) -> str:
@@ -41,7 +47,7 @@ class Outcome:
 
 class Simulator:
     """A keyspace with a ceiling in bytes; zero and less mean none. Victims are the best of
-    DRAWS candidates, drawn by a hash of (seed, number of the draw), so that a run repeats."""
+    DRAWS distinct candidates, drawn by a hash of (seed, number of the draw), so that a run repeats."""
 
     def __init__(self, policy: str = "allkeys-lfu", ceiling: int = 0, seed: int = 1):
         self.policy, self.ceiling, self.seed = parse_policy(policy), ceiling, seed
@@ -98,16 +104,26 @@ class Simulator:
         self.ceiling = ceiling
         return self._evict(None)
 
+    def set_policy(self, policy: str) -> None:
+        """Holds for the evictions to come; nothing is evicted for it."""
+        self.policy = parse_policy(policy)
+
+    def _sample(self) -> list[str]:
+        """DRAWS distinct keys, fewer only where a bounded number of draws does not meet as many."""
+        found: dict[str, None] = {}
+        for _ in range(TRIES if self.order else 0):
+            if len(found) == min(DRAWS, len(self.order)):
+                break
+            self.drawn += 1
+            found[self.order[mix(self.seed * 0x9E3779B97F4A7C15 + self.drawn & (1 << 64) - 1) % len(self.order)]] = None
+        return list(found)
+
     def _evict(self, written: str | None) -> int:
         if self.policy == "noeviction" or self.ceiling <= 0:
             return 0
         evicted = fruitless = 0
         while self.usage > self.ceiling:
-            drawn = []
-            for _ in range(min(DRAWS, len(self.order))):
-                self.drawn += 1
-                drawn.append(self.order[mix(self.seed * 0x9E3779B97F4A7C15 + self.drawn & (1 << 64) - 1) % len(self.order)])
-            drawn = [k for k in dict.fromkeys(drawn) if k != written]
+            drawn = [k for k in self._sample() if k != written]
             if not drawn:
                 fruitless += 1
                 if fruitless > FRUITLESS:
@@ -120,86 +136,144 @@ class Simulator:
         return evicted
 
 
-def replay_policies(log: DataFrame, configurations: list[tuple[str, int]], fill: bool = False, lower_to: int | None = None, seed: int = 1, warm: int = 0) -> DataFrame:
+RESULT = "policy string, ceiling long, hits long, misses long, evictions long, rejected long, usage long, physical long"
+
+
+def in_order(rows: DataFrame, keys: int, fold, schema: str) -> DataFrame:
+    """What `fold` (key, rows) yields for each value of the first `keys` columns; rows come as tuples of
+    the columns behind seq, the one after these, in its order. They are sorted by Spark, which
+    spills, and pass by in batches: a task holds what `fold` holds, not the trace."""
+    by, kinds = rows.columns[: keys + 1], StructType.fromDDL(schema)
+    size = 8192
+
+    def run(batches):
+        flat = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
+        out: list[tuple] = []
+        for key, own in groupby(flat, key=lambda r: r[:keys]):
+            for row in fold(key, (r[keys + 1 :] for r in own)):
+                out.append(row)
+                if len(out) >= size:
+                    yield as_batch(out)
+                    out = []
+        yield as_batch(out)
+
+    def as_batch(out):
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], to_arrow_type(f.dataType)) for i, f in enumerate(kinds.fields)], kinds.names)
+
+    return rows.repartition(*by[:keys]).sortWithinPartitions(*by).mapInArrow(run, schema)
+
+
+def replay_policies(log: DataFrame, configurations: list[tuple[str, int]], fill: int | None = None, lower_to: int | None = None, switch_to: str | None = None, seed: int = 1, warm: int = 0) -> DataFrame:
     """(policy, ceiling, hits, misses, evictions, rejected, usage, physical) of the whole log under
-    each configuration. With `fill` a read that misses writes its key. With `lower_to` the
-    ceiling falls to that after half of the rows. Hits and misses are those after the first
+    each configuration. With `fill` a read that misses writes its key, with a value of so many
+    bytes. With `lower_to` the
+    ceiling falls to that after half of the rows, with `switch_to` the policy becomes that. Hits and misses are those after the first
     `warm` rows; the rest is of the whole log."""
 
-    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
+    half = log.count() // 2 if lower_to is not None or switch_to else -1
+
+    def fold(key, rows):
         policy, ceiling = key
         sim, rejected = Simulator(policy, int(ceiling), seed), 0
-        rows = rows.sort_values("seq")
-        columns = (rows[c].tolist() for c in ("op", "key", "ts_us", "value_len", "ttl_us"))
-        half = len(rows) // 2
-        for i, (op, k, now, size, ttl) in enumerate(zip(*columns, strict=True)):
+        for i, (op, k, now, size, ttl) in enumerate(rows):
             if i == warm:
                 sim.hits = sim.misses = 0
-            if lower_to is not None and i == half:
+            if i == half and switch_to:
+                sim.set_policy(switch_to)
+            if i == half and lower_to is not None:
                 sim.set_ceiling(lower_to)
             if op in ("GET", "EXISTS"):
-                if not sim.get(k, now) and fill:
-                    rejected += not sim.set(k, ENTRY, now).ok
+                if not sim.get(k, now) and fill is not None:
+                    rejected += not sim.set(k, fill, now).ok
             elif op == "SET":
-                rejected += not sim.set(k, int(size), now, None if pd.isna(ttl) else int(ttl)).ok
+                rejected += not sim.set(k, size, now, ttl).ok
             elif op == "DEL":
                 sim.delete(k, now)
-        return pd.DataFrame([(policy, ceiling, sim.hits, sim.misses, sim.evictions, rejected, sim.usage, len(sim.entries))], columns=names)
+        yield policy, ceiling, sim.hits, sim.misses, sim.evictions, rejected, sim.usage, len(sim.entries)
 
-    names = ["policy", "ceiling", "hits", "misses", "evictions", "rejected", "usage", "physical"]
     each = F.explode(F.array(*[F.struct(F.lit(p).alias("policy"), F.lit(c).cast("long").alias("ceiling")) for p, c in configurations]))
-    rows = log.select("seq", "op", "key", "ts_us", "value_len", "ttl_us", each.alias("_c")).select("*", "_c.policy", "_c.ceiling").drop("_c")
-    return rows.groupBy("policy", "ceiling").applyInPandas(run, "policy string, ceiling long, hits long, misses long, evictions long, rejected long, usage long, physical long")
+    rows = log.select("seq", "op", "key", "ts_us", "value_len", "ttl_us", each.alias("_c")).select("_c.policy", "_c.ceiling", "seq", "op", "key", "ts_us", "value_len", "ttl_us")
+    return in_order(rows, 2, fold, RESULT)
 
 
 def replay_lru(trace: DataFrame, capacity: int, entry: int, warm: int = 0) -> DataFrame:
     """The row of `replay_policies` for naive LRU of `capacity` entries of `entry` bytes each."""
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        cache, hits, total = NaiveLru(capacity), 0, 0
-        keys = rows.sort_values("seq")["key"].tolist()
-        for i, k in enumerate(keys):
+    def fold(_, keys):
+        cache, hits, total, n = NaiveLru(capacity), 0, 0, 0
+        for n, (k,) in enumerate(keys, 1):
             hit = cache.access(k)
             total += not hit
-            hits += hit and i >= warm
+            hits += hit and n > warm
         held = len(cache.keys)
-        return pd.DataFrame([("naive-lru", capacity * entry, hits, max(0, len(keys) - warm) - hits, total - held, 0, held * entry, held)], columns=names)
+        yield "naive-lru", capacity * entry, hits, max(0, n - warm) - hits, total - held, 0, held * entry, held
 
-    names = ["policy", "ceiling", "hits", "misses", "evictions", "rejected", "usage", "physical"]
-    return trace.select("seq", "key", F.lit(0).alias("trace")).groupBy("trace").applyInPandas(run, "policy string, ceiling long, hits long, misses long, evictions long, rejected long, usage long, physical long")
+    return in_order(trace.select(F.lit(0).alias("trace"), "seq", "key"), 1, fold, RESULT)
 
 
 def reuse_distances(trace: DataFrame) -> DataFrame:
     """(seq, key, distance): how many other keys were accessed since the key's last access, null
     for the first. One pass answers every capacity: exact LRU of c entries hits if distance < c."""
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("seq")
-        keys, n = rows["key"].tolist(), len(rows)
-        tree, last, out = [0] * (n + 1), {}, []
-
-        def add(i, x):
-            while i <= n:
-                tree[i] += x
-                i += i & -i
-
-        def total(i):
-            s = 0
-            while i:
-                s += tree[i]
-                i -= i & -i
-            return s
-
-        for i, k in enumerate(keys, 1):
-            p = last.get(k)
-            out.append(None if p is None else total(i - 1) - total(p))
-            if p:
-                add(p, -1)
-            add(i, 1)
-            last[k] = i
-        return pd.DataFrame({"seq": rows["seq"], "key": keys, "distance": pd.array(out, "Int64")})
-
-    return trace.select("seq", "key", F.lit(0).alias("trace")).groupBy("trace").applyInPandas(run, "seq long, key string, distance long")
+def earlier(values: np.ndarray, equal: bool) -> np.ndarray:
+    """How many values before each one are less than it, or with `equal` no greater: halves of ever
+    longer stretches are counted against each other, as in a merge sort."""
+    n = len(values)
+    rank = np.unique(values, return_inverse=True)[1].astype(np.int64)
+    counts, span, side = np.zeros(n, np.int64), int(rank.max(initial=0)) + 2, "right" if equal else "left"
+    place, width = np.arange(n), 1
+    while width < n:
+        stretch, right = place // (2 * width), place // width % 2 == 1
+        left = np.sort(rank[~right] + stretch[~right] * span)
+        # left halves are full wherever there is a right half
+        counts[right] += np.searchsorted(left, rank[right] + stretch[right] * span, side) - stretch[right] * width
+        width *= 2
+    return counts
+
+
+def _within(rows: pd.DataFrame, block: int) -> pd.DataFrame:
+    """What one block knows of distances: (seq, part). With p the last access of a key before i, they
+    sum up to the accesses between p and i of which the last one of the same key is not after p:
+    of those in the block of i, and in the block of p, and, as far as that lies in the block of
+    p, of their last ones, in the blocks between."""
+    rows = rows.sort_values("seq")
+    seq, prev, after = (rows[c].to_numpy(np.int64) for c in ("seq", "prev", "next"))
+    at = seq[0] // block
+    again, here = prev >= 0, prev // block == at
+    part = earlier(prev, equal=True) - np.where(here, np.searchsorted(seq, prev) + 1, 0)
+    leaves = (after < 0) | (after // block != at)
+    away = leaves & (after >= 0)
+    behind = leaves[::-1].cumsum()[::-1] - leaves
+    more = behind[away] + earlier(after[away] // block, equal=False)
+    return pd.DataFrame({"seq": np.concatenate([seq[again], after[away]]), "part": np.concatenate([part[again], more])})
+
+
+def reuse_distances(trace: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(seq, key, distance): how many other keys were accessed since the key's last access, null
+    for the first. One answers every capacity: exact LRU of c entries hits if distance < c.
+
+    Blocks of `block` sequence numbers are counted each by itself; between them goes one number for
+    each two blocks, so that neither a long trace nor one key of it is one task's work. Sequence
+    numbers are unique and not negative."""
+    rows = trace.select("seq", "key", F.floor(F.col("seq") / block).cast("long").alias("b"))
+    own, blocks = Window.partitionBy("key", "b").orderBy("seq"), Window.partitionBy("key").orderBy("b")
+    ends = rows.groupBy("key", "b").agg(F.min("seq").alias("low"), F.max("seq").alias("high"))
+    ends = ends.select("key", "b", F.lag("high").over(blocks).alias("before"), F.lead("low").over(blocks).alias("after"))
+    rows = rows.withColumns({"p": F.lag("seq").over(own), "n": F.lead("seq").over(own)}).join(ends, ["key", "b"])
+    none = F.lit(-1).cast("long")
+    rows = rows.select("seq", "key", "b", F.coalesce("p", "before", none).alias("prev"), F.coalesce("n", "after", none).alias("next"))
+    parts = rows.groupBy("b").applyInPandas(lambda own: _within(own, block), "seq long, part long").groupBy("seq").agg(F.sum("part").alias("part"))
+    # the accesses of block c whose last one lies before block a, for each a up to c; summed over the blocks c between
+    of = F.when(F.col("prev") < 0, none).otherwise(F.floor(F.col("prev") / block).cast("long"))
+    pairs = rows.groupBy(F.col("b").alias("c"), (of + 1).alias("a")).agg(F.count("*").alias("n"))
+    grid = rows.select(F.col("b").alias("c")).distinct().select("c", F.explode(F.sequence(F.lit(0).cast("long"), F.col("c"))).alias("a"))
+    upto = Window.partitionBy("c").orderBy("a").rowsBetween(Window.unboundedPreceding, 0)
+    table = grid.join(pairs, ["c", "a"], "left").select("c", "a", F.sum(F.coalesce("n", F.lit(0))).over(upto).alias("n"))
+    between = Window.partitionBy("a").orderBy("c").rowsBetween(Window.unboundedPreceding, -1)
+    table = table.select("a", "c", F.coalesce(F.sum(F.when(F.col("c") > F.col("a"), F.col("n")).otherwise(0)).over(between), F.lit(0)).alias("apart"))
+    again = rows.filter("prev >= 0").select("seq", "key", of.alias("a"), F.col("b").alias("c")).join(parts, "seq").join(table, ["a", "c"], "left")
+    found = again.select("seq", "key", (F.col("part") + F.when(F.col("c") > F.col("a"), F.coalesce("apart", F.lit(0))).otherwise(0)).alias("distance"))
+    return found.unionByName(rows.filter("prev < 0").select("seq", "key", F.lit(None).cast("long").alias("distance")))
 
 
 class NaiveLru:

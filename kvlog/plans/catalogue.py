@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kvlog.functions import resp
+from kvlog.functions import commands, resp
 from kvlog.operators import benchstats, policies, replay, sketch
 from kvlog.plans.dialect import for_duckdb, for_spark
 from kvlog.sources.log import LOG_SQL, command_log
+from kvlog.sources.shared import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -32,18 +34,19 @@ SELECT event_id AS run_id, 'E' || CAST(1 + event_id % 3 AS STRING) AS experiment
   {pick("user_id % 4", [0, 50000, 100000, 200000])} AS rate,
   100000 + (event_id % 1000) * CASE WHEN {pick("(event_id ~/ 3) % 8", [1, 2, 4, 8, 16, 32, 48, 96])} <= 8 THEN 10 ELSE 100 END AS ops,
   CAST(floor(value * 10) AS BIGINT) AS p999_us, (event_id * 7) % 101 AS srv_cpu, (event_id * 13) % 101 AS cli_cpu,
-  (event_id * 17) % 101 AS nic_util, event_id % 53 = 0 AS failed, event_id % 97 AS hits, event_id % 89 AS misses
+  (event_id * 17) % 101 AS srv_nic, (event_id * 19) % 101 AS cli_nic, (event_id * 23) % 26000 AS srv_mbps, (event_id * 29) % 26000 AS cli_mbps,
+  event_id % 53 = 0 AS failed, event_id % 97 AS hits, event_id % 89 AS misses
 FROM events"""
 CONFIGURATION = "experiment, subject, cores, data_size, rate"
-#: Of each configuration: the run nearest its median rate, its spread, and what its validity is.
-GATED = f"""
-SELECT *, CASE WHEN failed THEN 'failed' WHEN cli_cpu >= 85 THEN 'client saturated' WHEN nic_util >= 80 THEN 'network saturated'
-    WHEN rate = 0 AND srv_cpu < 65 THEN 'server not saturated' WHEN cov > 0.05 THEN 'unstable' ELSE 'valid' END AS valid
-FROM (SELECT r.*, m.cov, row_number() OVER (PARTITION BY {", ".join("r." + c for c in CONFIGURATION.split(", "))} ORDER BY abs(r.ops - m.mid), r.run_id) AS nearest
-  FROM rig r JOIN (SELECT {CONFIGURATION}, median(ops) AS mid,
-      CASE WHEN avg(ops) = 0 THEN 0 ELSE stddev_pop(ops) / avg(ops) END AS cov FROM rig GROUP BY {CONFIGURATION}) m
-    ON {" AND ".join(f"r.{c} = m.{c}" for c in CONFIGURATION.split(", "))})
-WHERE nearest = 1"""
+#: The gate in SQL of its own: every repeat beside its configuration's lists, not an aggregate joined back.
+GATED_SQL = f"""
+SELECT * EXCLUDE (place, broken), CASE WHEN broken THEN 'memtier-failed' WHEN NOT cli_cpu < 85 THEN 'rig-limited:client-cpu'
+    WHEN greatest(srv_nic, cli_nic) >= 80 OR greatest(srv_mbps, cli_mbps) * 5 >= 25000 * 4 THEN 'rig-limited:nic'
+    WHEN rate = 0 AND srv_cpu < 65 THEN 'under-generated:srv-cpu<65' WHEN cov > 0.05 THEN 'noisy:cov>5%' ELSE 'valid' END AS valid
+FROM (SELECT *, row_number() OVER (PARTITION BY {CONFIGURATION} ORDER BY apart, run_id) AS place FROM (
+  SELECT *, abs(ops - quantile_cont(ops, 0.5) OVER w) AS apart, coalesce(stddev_pop(ops) OVER w / nullif(avg(ops) OVER w, 0), 0) AS cov, bool_or(failed OR ops = 0) OVER w AS broken
+  FROM rig WINDOW w AS (PARTITION BY {CONFIGURATION})))
+WHERE place = 1"""
 
 
 def _frames(spark: SparkSession, sf_dir: str, sql: str) -> dict[str, DataFrame]:
@@ -53,15 +56,14 @@ def _frames(spark: SparkSession, sf_dir: str, sql: str) -> dict[str, DataFrame]:
         "replay": lambda: replay.replay(log),
         "placed": lambda: log.select("key").distinct().withColumn("h", F.conv(F.substring(F.md5(F.col("key").cast("binary")), 1, 15), 16, 10).cast("long")),
         "events": lambda: spark.read.parquet(f"{sf_dir}/events.parquet"),
+        "rig": lambda: _rig(spark, sf_dir),
+        "gated": lambda: benchstats.gated(_rig(spark, sf_dir)),
     }
     return {k: f() for k, f in make.items() if "{" + k + "}" in sql}
 
 
 def _spark_sql(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     text = for_spark(sql)
-    if "{rig}" in text or "{gated}" in text:
-        rig = for_spark(RIG).replace("FROM events", "FROM {events}")
-        text = f"WITH rig AS ({rig}), gated AS ({for_spark(GATED)}) {text.replace('{rig}', 'rig').replace('{gated}', 'gated')}"
     return spark.sql(text, **_frames(spark, sf_dir, text))
 
 
@@ -78,8 +80,8 @@ def shared(name: str, sql: str, oracle: str | None = None) -> None:
 
 
 def _oracle(sql: str) -> str:
-    text = for_duckdb(sql).replace("{rig}", "rig").replace("{gated}", "gated")
-    used = "WITH " + ", ".join(f"{k} AS ({for_duckdb(v)})" for k, v in {**BASES, "rig": RIG, "gated": GATED}.items())
+    text = for_duckdb(sql).replace("{rig}", "rig").replace("{gated}", "gated").replace("{events}", "events")
+    used = "WITH " + ", ".join(f"{k} AS ({for_duckdb(v)})" for k, v in {**BASES, "rig": RIG, "gated": GATED_SQL}.items())
     for k in BASES:
         text = text.replace("{" + k + "}", k)
     return f"{used} {text}"
@@ -135,24 +137,23 @@ def kv_usage_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replay.usage_curve(rows.select("seq", delta.alias("delta")))
 
 
-BATCH_SQL = """WITH_B SELECT batch, CAST({what} AS BIGINT) AS reply FROM (
+BATCH_SQL = """SELECT batch, CAST({what} AS BIGINT) AS reply FROM (
   SELECT r.batch, r.key, coalesce(p.op = 'SET' AND (p.ttl_us IS NULL OR p.ttl_us <= 0 OR r.began < p.ts_us + p.ttl_us), false) AS live
   FROM (SELECT *, seq // 8 AS batch, min(ts_us) OVER (PARTITION BY seq // 8) AS began,
     max(CASE WHEN op IN ('SET', 'DEL') THEN seq END) OVER (PARTITION BY key ORDER BY seq // 8 RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prior FROM log) r
-  LEFT JOIN log p ON p.seq = r.prior) GROUP BY batch""".replace("WITH_B ", "")
+  LEFT JOIN log p ON p.seq = r.prior) GROUP BY batch"""
 
 
 def _batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Commands of eight keys each, all against the state before the first of them."""
+    """Commands of eight keys each, all against the state before the first of them: a key's last
+    mutation in a batch is one row of a log whose sequence numbers are the batches."""
     log = command_log(spark, sf_dir).withColumn("batch", F.floor(F.col("seq") / 8))
-    mutation = F.when(F.col("op").isin("SET", "DEL"), F.struct("op", F.when(F.col("ttl_us") > 0, F.col("ts_us") + F.col("ttl_us")).alias("expires")))
-    own = log.filter(mutation.isNotNull()).groupBy("key", "batch").agg(F.max_by(mutation, "seq").alias("last"))
-    asked = log.groupBy("key", "batch").agg(F.count("*").alias("times")).join(own, ["key", "batch"], "left")
-    before = Window.partitionBy("key").orderBy("batch").rowsBetween(Window.unboundedPreceding, -1)
-    asked = asked.withColumn("prior", F.last("last", ignorenulls=True).over(before))
+    mutation = F.when(F.col("op").isin("SET", "DEL"), F.struct("op", "value", "value_len", "ts_us", "ttl_us"))
+    asked = log.groupBy("key", "batch").agg(F.count("*").alias("times"), F.max_by(mutation, F.when(mutation.isNotNull(), F.col("seq"))).alias("last"))
+    found = replay.with_prior(asked.select(F.col("batch").alias("seq"), "key", "times", "last.*")).withColumnRenamed("seq", "batch")
     began = log.groupBy("batch").agg(F.min("ts_us").alias("began"))
-    live = F.coalesce((F.col("prior.op") == "SET") & F.coalesce(F.col("began") < F.col("prior.expires"), F.lit(True)), F.lit(False))
-    return asked.join(began, "batch").withColumn("live", live)
+    live = F.coalesce((F.col("prior.op") == "SET") & F.coalesce(F.col("began") < F.col("prior.expires_us"), F.lit(True)), F.lit(False))
+    return found.drop("ts_us").join(began, "batch").withColumn("live", live)
 
 
 @query("kv_del_multi", BATCH_SQL.replace("{what}", "count(DISTINCT key) FILTER (WHERE live)"))
@@ -173,6 +174,8 @@ shared("kv_shard_skew", "SELECT max(keys) AS most, min(keys) AS least, CAST(max(
 shared("kv_bucket_home", "SELECT key, h % 1024 AS bucket FROM {placed}")
 shared("kv_hash_spread", "SELECT count(DISTINCT h ~/ 17592186044416) AS high, count(DISTINCT h % 65536) AS low, count(*) AS keys FROM {placed}")
 shared("kv_key_sample", "SELECT key FROM (SELECT key, row_number() OVER (ORDER BY md5('7:' || key), key) AS n FROM {placed}) t WHERE n <= 5")
+SHARDS = [(-3, 32), (0, 32), (1, 1), (2, 2), (3, 4), (16, 16), (17, 32), (1000, 1024)]
+shared("kv_shard_count", f"SELECT n, CAST(CASE WHEN n = 1 THEN 1 ELSE shiftleft(1L, length(bin(CASE WHEN n <= 0 THEN 4 * 8 ELSE n END - 1))) END AS BIGINT) AS shards FROM (VALUES {', '.join(f'({n})' for n, _ in SHARDS)}) AS t(n)", f"SELECT n, CAST(s AS BIGINT) AS shards FROM (VALUES {', '.join(map(str, SHARDS))}) AS t(n, s)")
 shared("kv_sketch_sizing", "SELECT ceiling, CAST(CASE WHEN ceiling <= 0 THEN 1024 ELSE greatest(1024, least(4194304, ceiling ~/ 256)) END AS BIGINT) AS counters FROM (VALUES (0), (-5), (1), (262144), (262400), (1048576), (2000000000)) AS t(ceiling)",
        "SELECT ceiling, CAST(n AS BIGINT) AS counters FROM (VALUES (0, 1024), (-5, 1024), (1, 1024), (262144, 1024), (262400, 1025), (1048576, 4096), (2000000000, 4194304)) AS t(ceiling, n)")
 POLICY = "CASE WHEN {x} IN ('noeviction', 'allkeys-random', 'allkeys-lfu') THEN {x} END"
@@ -228,7 +231,10 @@ def resp_map_downgrade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("n", "v", F.rtrim(F.regexp_replace(resp.map_header(F.col("n"), F.col("v")), "[\\r\\n]", "")).alias("header"))
 
 
-DOUBLES = [("3.0", "3"), ("0.1", "0.1"), ("-2.5", "-2.5"), ("1e21", "1e+21"), ("1.5e-7", "1.5e-07"), ("123456789.0", "123456789"), ("0.001", "0.001")]
+DOUBLES = [
+    ("3.0", "3"), ("0.1", "0.1"), ("-2.5", "-2.5"), ("1e21", "1e+21"), ("1.5e-7", "1.5e-07"), ("123456789.0", "1.23456789e+08"), ("0.001", "0.001"), ("0", "0"), ("100000", "100000"), ("123456.75", "123456.75"), ("1e6", "1e+06"), ("-1234567.5", "-1.2345675e+06"),
+    ("0.0001", "0.0001"), ("0.00012", "0.00012"), ("0.00001", "1e-05"), ("12e-120", "1.2e-119"), ("1.7976931348623157e308", "1.7976931348623157e+308"), ("99999.5", "99999.5"), ("120", "120"),
+]
 
 
 @query("resp_double_text", "SELECT * FROM (VALUES " + ", ".join(f"({i}, '{t}')" for i, (_, t) in enumerate([*DOUBLES, (0, "inf"), (0, "-inf"), (0, "nan")])) + ") t(i, spelled)")
@@ -245,29 +251,82 @@ def resp_decode_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("id").alias("seq"), arg(0).alias("op"), arg(1).alias("key"), arg(2).alias("value"), "outcome")
 
 
+ARRAY, BULK, LENGTH, CRLF = "expected '*' array header", "expected '$' bulk-string header", "invalid length", "expected CRLF terminator"
 FRAMES = [
     (b"*1\r\n$4\r\nPING\r\n", "ok"), (b"*0\r\n", "ok"), (b"*2\r\n$3\r\nGET\r\n$0\r\n\r\n", "ok"), (b"*1\r\n$4\r\nPI", "truncated"), (b"*1\r\n$4\r\nPING", "truncated"), (b"*2\r\n$1\r\na\r\n", "truncated"),
-    (b"*", "truncated"), (b"PING\r\n", "not an array"), (b"*1\r\n+OK\r\n", "not a bulk string"), (b"*-1\r\n", "invalid array length"), (b"*01\r\n", "invalid array length"), (b"*+1\r\n", "invalid array length"),
-    (b"*1\r\n$-1\r\n", "invalid bulk length"), (b"*1\r\n$x\r\n", "invalid bulk length"), (b"*1048577\r\n", "array too large"), (b"*1\r\n$536870913\r\n", "bulk too large"), (b"*1\r\n$1\r\nabc\r\n", "bulk without CRLF"),
-    (b"*1\n", "line without CRLF"), (b"*" + b"1" * 70 + b"\r\n", "header too long"),
+    (b"*", "truncated"), (b"PING\r\n", ARRAY), (b"*1\r\n+OK\r\n", BULK), (b"*-1\r\n", LENGTH), (b"*01\r\n", LENGTH), (b"*+1\r\n", LENGTH),
+    (b"*1\r\n$-1\r\n", LENGTH), (b"*1\r\n$x\r\n", LENGTH), (b"*1048577\r\n", "multibulk count exceeds configured limit"), (b"*1\r\n$536870913\r\n", "bulk length exceeds configured limit"), (b"*1\r\n$1\r\nabc\r\n", CRLF),
+    (b"*1\n", CRLF), (b"*" + b"1" * 70 + b"\r\n", "header line exceeds limit"), (b"", "end"),
 ]
 
 
-@query("resp_decode_errors", "SELECT * FROM (VALUES " + ", ".join(f"({i}, '{o}')" for i, (_, o) in enumerate(FRAMES)) + ") t(id, outcome)")
+def _quoted(text: str | None) -> str:
+    return "NULL" if text is None else "'" + text.replace("'", "''") + "'"
+
+
+def _values(rows: list[tuple], columns: str) -> str:
+    """A literal table for either engine."""
+    spelled = ", ".join("(" + ", ".join(_quoted(x) if x is None or isinstance(x, str) else str(x) for x in r) + ")" for r in rows)
+    return f"SELECT * FROM (VALUES {spelled}) AS t({columns})"
+
+
+def _closing(outcome: str) -> tuple[str, str | None]:
+    if outcome in ("ok", "truncated", "end"):
+        return ("dispatch" if outcome == "ok" else "close"), None
+    return "error then close", f"-ERR Protocol error: {outcome}"
+
+
+@query("resp_decode_errors", _values([(i, o, *_closing(o)) for i, (_, o) in enumerate(FRAMES)], "id, outcome, disposition, reply"))
 def resp_decode_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.sql("SELECT id, unhex(h) AS frame FROM VALUES " + ", ".join(f"({i}, '{f.hex()}')" for i, (f, _) in enumerate(FRAMES)) + " t(id, h)")
-    return resp.decoded(rows).select("id", "outcome")
+    found = rows.select("id").join(resp.decoded(rows).select("id", "outcome"), "id", "left").withColumn("outcome", F.coalesce("outcome", F.lit("end")))
+    return found.select("id", "outcome", resp.disposition(F.col("outcome")).alias("disposition"), F.rtrim(F.regexp_replace(resp.protocol_error(F.col("outcome")), "[\\r\\n]", "")).alias("reply"))
 
 
-#: verb, least and most arguments with the verb, null without an upper bound.
-COMMANDS = [("ping", 1, 2), ("quit", 1, 1), ("get", 2, 2), ("set", 3, 5), ("del", 2, None), ("exists", 2, None), ("ttl", 2, 2), ("pttl", 2, 2), ("hello", 1, None), ("command", 1, None), ("config", 1, None), ("select", 2, 2)]
-DIMENSION = "(VALUES " + ", ".join(f"('{v}', {a}, {b or 'NULL'})" for v, a, b in COMMANDS) + ") AS c(verb, least, most)"
+DIMENSION = "(VALUES " + ", ".join(f"('{v}', {a}, {b or 'NULL'})" for v, a, b in commands.COMMANDS) + ") AS c(verb, least, most)"
 shared("cmd_dispatch_counts", f"SELECT c.verb, count(l.seq) AS n FROM {DIMENSION} LEFT JOIN {{log}} l ON lower(l.op) = c.verb GROUP BY c.verb")
-ARITY = [("PING", 1, "ok"), ("ping", 3, "wrong number of arguments for 'ping'"), ("Get", 1, "wrong number of arguments for 'get'"), ("GET", 2, "ok"), ("set", 2, "wrong number of arguments for 'set'"), ("DEL", 9, "ok"), ("EXISTS", 1, "wrong number of arguments for 'exists'"), ("FLUSH", 1, "unknown command 'FLUSH'"), ("HELLO", 6, "ok"), ("select", 2, "ok")]
-Q = "chr(39)"
-shared("cmd_arity", f"""SELECT a.n, CASE WHEN c.verb IS NULL THEN 'unknown command ' || {Q} || a.verb || {Q} WHEN a.args < c.least OR a.args > c.most THEN 'wrong number of arguments for ' || {Q} || lower(a.verb) || {Q} ELSE 'ok' END AS outcome
-  FROM (VALUES {", ".join(f"({i}, '{v}', {n})" for i, (v, n, _) in enumerate(ARITY))}) AS a(n, verb, args) LEFT JOIN {DIMENSION} ON lower(a.verb) = c.verb""",
-       "SELECT * FROM (VALUES " + ", ".join("({}, '{}')".format(i, o.replace("'", "''")) for i, (_, _, o) in enumerate(ARITY)) + ") t(n, outcome)")
+WRONG = "ERR wrong number of arguments for '{}'"
+ARITY = [("PING", 1, "ok"), ("ping", 3, WRONG.format("ping")), ("Get", 1, WRONG.format("get")), ("GET", 2, "ok"), ("set", 2, WRONG.format("set")), ("DEL", 9, "ok"), ("EXISTS", 1, WRONG.format("exists")), ("FLUSH", 1, "ERR unknown command 'FLUSH', with args beginning with: "), ("HELLO", 6, "ok"), ("select", 2, "ok"), ("CONFIG", 1, WRONG.format("config")), ("a\tb\r\n-OK", 1, "ERR unknown command 'a?b??-OK', with args beginning with: ")]
+
+
+@query("cmd_arity", _values([(i, o) for i, (_, _, o) in enumerate(ARITY)], "n, outcome"))
+def cmd_arity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame([(i, v, n) for i, (v, n, _) in enumerate(ARITY)], "n int, verb string, argc int")
+    known = commands.arity(F.col("verb"))
+    wrong = (F.col("argc") < known["least"]) | (F.col("argc") > known["most"])
+    return rows.select("n", F.when(known.isNull(), commands.unknown_command(F.col("verb"))).when(wrong, commands.wrong_arity(F.col("verb"))).otherwise("ok").alias("outcome"))
+
+
+def _hello(conn: int, proto: int) -> str:
+    """The server's map, spelled out."""
+    head = "%7" if proto == 3 else "*14"
+    return "|".join([head, "$6|server|$5|kvlog|$7|version|$3|1.0|$5|proto", f":{proto}", f"$2|id|:{conn}|$4|mode|$10|standalone|$4|role|$6|master|$7|modules|*0|"])
+
+
+#: Connection, arguments, dialect after them, reply with bars for line ends, whether it closes.
+TALK = [
+    (1, ["PING"], 2, "+PONG|", 0), (1, ["ping", "hé"], 2, "$3|hé|", 0), (1, ["HELLO"], 2, _hello(1, 2), 0), (1, ["HELLO", "3"], 3, _hello(1, 3), 0), (1, ["hello"], 3, _hello(1, 3), 0), (1, ["HELLO", "4"], 3, "-NOPROTO unsupported protocol version|", 0),
+    (1, ["HELLO", "abc"], 3, "-NOPROTO unsupported protocol version|", 0), (1, ["HELLO", "2", "AUTH", "u", "p"], 3, "-ERR Client sent AUTH, but no password is set|", 0), (1, ["HELLO", "2", "SETNAME"], 3, "-ERR syntax error|", 0),
+    (1, ["HELLO", "2", "setname", "x"], 2, _hello(1, 2), 0), (1, ["HELLO", "3", "SETNAME", "x", "WHAT"], 2, "-ERR syntax error|", 0), (2, ["COMMAND"], 2, "*0|", 0), (2, ["COMMAND", "docs"], 2, "*0|", 0), (2, ["COMMAND", "COUNT"], 2, ":12|", 0),
+    (2, ["COMMAND", "LIST"], 2, "-ERR Unknown COMMAND subcommand or wrong number of arguments|", 0), (2, ["SELECT", "0"], 2, "+OK|", 0), (2, ["SELECT", "7"], 2, "-ERR DB index is out of range|", 0), (2, ["SELECT", "x"], 2, "-ERR value is not an integer or out of range|", 0),
+    (2, ["CONFIG", "GET"], 2, "-ERR Unknown CONFIG subcommand or wrong number of arguments|", 0), (2, ["CONFIG"], 2, "-ERR wrong number of arguments for 'config'|", 0), (2, ["NOPE", "x"], 2, "-ERR unknown command 'NOPE', with args beginning with: |", 0),
+    (2, ["QUIT", "now"], 2, "-ERR wrong number of arguments for 'quit'|", 0), (2, [], 2, None, 0), (2, ["GET", "k"], 2, None, 0), (2, ["QUIT"], 2, "+OK|", 1),
+]
+
+
+@query("cmd_replies", _values([(i, p, r, c) for i, (_, _, p, r, c) in enumerate(TALK)], "n, proto, reply, closes"))
+def cmd_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame([(c, i, a) for i, (c, a, *_) in enumerate(TALK)], "conn int, n int, args array<string>")
+    return commands.replies(rows, "kvlog", "1.0").select("n", "proto", F.replace("reply", F.lit(resp.CRLF), F.lit("|")).alias("reply"), F.col("closes").cast("int").alias("closes"))
+
+
+@query("cmd_error_texts", _values([(0, "-OOM command not allowed when used memory > 'maxmemory'|"), (1, "-ERR disk?gone|")], "n, reply"))
+def cmd_error_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame([(0, None), (1, "disk\tgone")], "n int, fault string")
+    text = F.when(F.col("fault").isNull(), F.lit(commands.OUT_OF_MEMORY)).otherwise(commands.engine_error(F.col("fault")))
+    return rows.select("n", F.replace(resp.error(text), F.lit(resp.CRLF), F.lit("|")).alias("reply"))
+
+
 NOW_S = 1700000000
 OPTIONS = [
     ("", "persist"), ("EX 10", "10000"), ("px 10", "10"), (f"EXAT {NOW_S + 5}", "5000"), (f"PXAT {NOW_S * 1000 + 7}", "7"), ("EX", "syntax"), ("EX 10 20", "syntax"), ("KEEP 10", "syntax"), ("EX +5", "not an integer"), ("EX 007", "not an integer"),
@@ -276,17 +335,25 @@ OPTIONS = [
 ]
 
 
+def spark_quoted(text: str) -> str:
+    return "'" + text.replace("'", "\\'") + "'"
+
+
 def set_expiry(words: str, now_ms: str) -> str:
     """Spark SQL of a SET's options: the milliseconds to live, persist, or the first error."""
     unit, n = f"upper(get({words}, 0))", f"get({words}, 1)"
     value = f"CASE WHEN {n} RLIKE '^-?(0|[1-9][0-9]*)$' AND {n} <> '-9223372036854775808' THEN try_cast({n} AS BIGINT) END"
     bound = f"CASE WHEN {unit} IN ('EX', 'EXAT') THEN 9223372036 ELSE 9223372036854 END"
     ms = f"(({value}) * CASE WHEN {unit} IN ('EX', 'EXAT') THEN 1000 ELSE 1 END - CASE WHEN {unit} IN ('EXAT', 'PXAT') THEN {now_ms} ELSE 0 END)"
-    return f"""CASE WHEN size({words}) = 0 THEN 'persist' WHEN size({words}) <> 2 OR {unit} NOT IN ('EX', 'PX', 'EXAT', 'PXAT') THEN 'syntax' WHEN ({value}) IS NULL THEN 'not an integer'
-      WHEN ({value}) > {bound} OR ({value}) < -{bound} THEN 'invalid expire' WHEN {ms} <= 0 THEN 'invalid expire' ELSE CAST({ms} AS STRING) END"""
+    return f"""CASE WHEN size({words}) = 0 THEN 'persist' WHEN size({words}) <> 2 OR {unit} NOT IN ('EX', 'PX', 'EXAT', 'PXAT') THEN {spark_quoted(commands.SYNTAX)} WHEN ({value}) IS NULL THEN {spark_quoted(commands.NOT_INTEGER)}
+      WHEN ({value}) > {bound} OR ({value}) < -{bound} OR {ms} <= 0 THEN {spark_quoted(commands.BAD_EXPIRE)} ELSE CAST({ms} AS STRING) END"""
+
+
+#: The errors' texts, by the short names above.
+SPELLED = {"syntax": "ERR syntax error", "not an integer": "ERR value is not an integer or out of range", "invalid expire": "ERR invalid expire time in 'set' command"}
 
 
-@query("cmd_set_options", "SELECT * FROM (VALUES " + ", ".join(f"({i}, '{o}')" for i, (_, o) in enumerate(OPTIONS)) + ") t(n, outcome)")
+@query("cmd_set_options", _values([(i, SPELLED.get(o, o)) for i, (_, o) in enumerate(OPTIONS)], "n, outcome"))
 def cmd_set_options(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = ", ".join(f"({i}, '{x}')" for i, (x, _) in enumerate(OPTIONS))
     return spark.sql(f"SELECT n, {set_expiry('words', str(NOW_S * 1000))} AS outcome FROM (SELECT n, filter(split(x, ' '), w -> w <> '') AS words FROM VALUES {rows} t(n, x))")
@@ -301,10 +368,12 @@ shared("cmd_select", "SELECT x, CASE WHEN x = '0' THEN 'OK' WHEN length(x) < 19
        "SELECT * FROM (VALUES ('0', 'OK'), ('1', 'out of range'), ('-3', 'out of range'), ('x', 'not an integer'), ('', 'not an integer')) t(x, reply)")
 
 
-@query("cmd_sanitize", "SELECT seq, regexp_replace(substr(op || chr(9) || key || chr(10) || coalesce(value, '') || chr(127), 1, 128), '[\\x00-\\x1f\\x7f]', '?', 'g') AS clean FROM log")
+@query("cmd_sanitize", """SELECT seq, array_to_string(list_transform(range(0, least(128, length(h) // 2)), lambda i: CASE WHEN substr(h, CAST(i * 2 + 1 AS INTEGER), 2) < '20' OR substr(h, CAST(i * 2 + 1 AS INTEGER), 2) = '7F' THEN '3F' ELSE substr(h, CAST(i * 2 + 1 AS INTEGER), 2) END), '') AS clean
+  FROM (SELECT seq, hex(encode(op || chr(9) || key || chr(10) || repeat('é漢' || chr(127), CAST(15 + seq % 11 AS INTEGER)))) AS h FROM log)""")
 def cmd_sanitize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = F.concat("op", F.lit("\t"), "key", F.lit("\n"), F.coalesce("value", F.lit("")), F.lit("\x7f"))
-    return command_log(spark, sf_dir).select("seq", F.regexp_replace(F.substring(text, 1, 128), "[\\x00-\\x1f\\x7f]", "?").alias("clean"))
+    """Texts of two- and three-byte letters, cut at all places of a letter."""
+    text = F.concat("op", F.lit("\t"), "key", F.lit("\n"), F.repeat(F.lit("é漢\x7f"), (15 + F.col("seq") % 11).cast("int")))
+    return command_log(spark, sf_dir).select("seq", F.hex(commands.as_bytes(commands.sanitized(text))).alias("clean"))
 
 
 # Policies and sketches.
@@ -334,7 +403,8 @@ _simulated("sim_noeviction", [("noeviction", 8192)])
 _simulated("sim_random", [("allkeys-random", 8192)])
 _simulated("sim_lfu", [("allkeys-lfu", 8192)])
 _simulated("sim_lower_ceiling", [("allkeys-lfu", 16384)], lower_to=4096)
-_simulated("sim_policy_compare", [(p, c) for p in policies.POLICIES for c in (4096, 8192, 0)], fill=True)
+_simulated("sim_policy_switch", [("noeviction", 8192), ("allkeys-random", 8192)], switch_to="allkeys-lfu")
+_simulated("sim_policy_compare", [(p, c) for p in policies.POLICIES for c in (4096, 8192, 0)], fill=64)
 
 
 def zipf(spark: SparkSession, n: int = 300000, keys: int = 10000, s: float = 1.3) -> DataFrame:
@@ -352,33 +422,60 @@ def zipf(spark: SparkSession, n: int = 300000, keys: int = 10000, s: float = 1.3
 QUERIES["zipf_trace"] = lambda spark, sf_dir: zipf(spark)
 
 
+# Workloads of a load generator, from hashes of the row's number that both engines have.
+
+_U = "CAST(('0x' || substr(md5(concat('{salt}', CAST(event_id AS STRING))), {at}, {n})) AS BIGINT)"
+
+
+def _part(salt: str, at: int = 1, n: int = 12) -> str:
+    return _U.format(salt=salt, at=at, n=n)
+
+
+def _hexed(sql: str) -> str:
+    """The same for Spark, which reads hexadecimal digits otherwise."""
+    return re.sub(r"CAST\(\('0x' \|\| (substr\(md5\(.*?\)\), \d+, \d+\))\) AS BIGINT\)", r"CAST(conv(\1, 16, 10) AS BIGINT)", sql)
+
+
+#: Shares of reads, and keys, of the mixes; all keys exist, so a write is an overwrite.
+MIXES = "(VALUES ('read90', 90), ('write50', 50)) AS m(mix, reads), (VALUES (65536), (4096)) AS k(keys)"
+MIX = f"SELECT event_id AS seq, mix, keys, CASE WHEN {_part('op')} % 100 < reads THEN 'GET' ELSE 'SET' END AS op, {_part('key')} % keys AS key FROM {{events}}, {MIXES}"
+#: One write, uniform over the keys, to two reads, normal around the middle key: twelve uniform numbers, added.
+TWELVE = " + ".join(_part(salt, at, 4) for salt in ("x", "y") for at in (1, 5, 9, 13, 17, 21))
+GAUSS = f"SELECT event_id AS seq, CASE WHEN event_id % 3 = 0 THEN 'SET' ELSE 'GET' END AS op, CASE WHEN event_id % 3 = 0 THEN {_part('key')} % 50000 ELSE greatest(0, least(49999, (({TWELVE}) * 6000) ~/ 65536 - 36000 + 25000)) END AS key, 4096 AS value_len FROM {{events}}"
+for _name, _sql in {"load_mix": MIX, "load_gauss": GAUSS}.items():
+    shared(_name, _hexed(_sql), _oracle(_sql))
+shared("load_gauss_moments", f"SELECT op, CAST(round(avg(key)) AS BIGINT) ~/ 500 AS middle, CAST(round(stddev_pop(key)) AS BIGINT) ~/ 500 AS spread FROM ({_hexed(GAUSS)}) t GROUP BY op", _oracle(f"SELECT op, CAST(round(avg(key)) AS BIGINT) // 500 AS middle, CAST(round(stddev_pop(key)) AS BIGINT) // 500 AS spread FROM ({GAUSS}) t GROUP BY op"))
+
+
 #: Accesses of the trace before the measured ones, and the entries that a cache holds.
 ZIPF_WARM, ZIPF_CAPACITY = 50000, 100
+#: Bytes of an entry: a key of 5, a value of 32, and what each entry costs.
+ZIPF_ENTRY = 5 + 32 + replay.ENTRY
 
 
 def _zipf_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     trace = zipf(spark).select("seq", F.lit("GET").alias("op"), "key", F.lit(0).cast("long").alias("ts_us"), F.lit(32).cast("long").alias("value_len"), F.lit(None).cast("long").alias("ttl_us"))
-    engine = policies.replay_policies(trace, [(p, ZIPF_CAPACITY * 133) for p in policies.POLICIES[1:]], fill=True, warm=ZIPF_WARM)
-    return engine.unionByName(policies.replay_lru(trace, ZIPF_CAPACITY, 133, warm=ZIPF_WARM))
+    engine = policies.replay_policies(trace, [(p, ZIPF_CAPACITY * ZIPF_ENTRY) for p in policies.POLICIES[1:]], fill=32, warm=ZIPF_WARM)
+    return engine.unionByName(policies.replay_lru(trace, ZIPF_CAPACITY, ZIPF_ENTRY, warm=ZIPF_WARM))
 
 
 QUERIES["zipf_policy_compare"] = _zipf_compare
 shared("sketch_exact_frequency", "SELECT key, count(*) AS n FROM {log} WHERE op IN ('GET', 'EXISTS') GROUP BY key")
-shared("door_second_sighting_exact", "SELECT seq, key, row_number() OVER (PARTITION BY key ORDER BY seq) > 1 AS seen FROM {log} WHERE op IN ('GET', 'EXISTS')")
+shared("door_second_sighting_exact", "SELECT l.seq, l.key, l.seq > f.first AS seen FROM {log} l JOIN (SELECT key, min(seq) AS first FROM {log} WHERE op IN ('GET', 'EXISTS') GROUP BY key) f ON f.key = l.key WHERE l.op IN ('GET', 'EXISTS')",
+       _oracle("SELECT seq, key, row_number() OVER (PARTITION BY key ORDER BY seq) > 1 AS seen FROM {log} WHERE op IN ('GET', 'EXISTS')"))
 
 
 def _estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(key, n, estimate): how often each key was read, and what the sketch holds at the end."""
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        keys = rows.sort_values("seq")["key"].tolist()
-        f = sketch.Frequencies(1024, 1)
-        for k in keys:
+    def fold(_, reads):
+        f, n = sketch.Frequencies(1024, 1), Counter()
+        for (k,) in reads:
             f.record(policies.fingerprint(k, 1))
-        n = pd.Series(keys).value_counts()
-        return pd.DataFrame({"key": n.index, "n": n.to_numpy(), "estimate": [f.estimate(policies.fingerprint(k, 1)) for k in n.index]})
+            n[k] += 1
+        yield from ((k, times, f.estimate(policies.fingerprint(k, 1))) for k, times in n.items())
 
-    reads = command_log(spark, sf_dir).filter("op in ('GET', 'EXISTS')").select("seq", "key")
-    return reads.withColumn("trace", F.lit(0)).groupBy("trace").applyInPandas(run, "key string, n long, estimate long")
+    reads = command_log(spark, sf_dir).filter("op in ('GET', 'EXISTS')").select(F.lit(0).alias("trace"), "seq", "key")
+    return policies.in_order(reads, 1, fold, "key string, n long, estimate long")
 
 
 QUERIES["sketch_estimate"] = _estimates
@@ -417,26 +514,33 @@ def bench_parse_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return benchstats.parse_throughput(spark.createDataFrame([(f, i, x) for f, lines in CSVS.items() for i, x in enumerate(lines)], "file string, n int, line string"))
 
 
-JSONS = {"good": '{"ALL STATS": {"Totals": {"Ops/sec": 1000, "Hits/sec": 900, "Misses/sec": 100, "Percentile Latencies": {"p50.00": 0.1, "p99.00": 0.5, "p99.90": 1.5}}}}', "none": '{"ALL STATS": {"Totals": {"Hits/sec": 0, "Misses/sec": 0}}}', "bad": "{"}
+_LATE = '"Percentile Latencies": {"p50.00": 0.1, "p99.00": 0.5, "p99.90": 1.5, "p99.99": 2.5}'
+JSONS = {
+    "good": '{"ALL STATS": {"Totals": {"Ops/sec": 1000, "Hits/sec": 900, "Misses/sec": 100, %s}}}' % _LATE, "none": '{"ALL STATS": {"Totals": {"Hits/sec": 0, "Misses/sec": 0}}}', "bad": "{",
+    "negative": '{"ALL STATS": {"Totals": {"Hits/sec": -1, "Misses/sec": 5}}}', "missing": '{"ALL STATS": {}}',
+}
 
 
-@query("bench_parse_json", "SELECT * FROM (VALUES ('good', 0.9::DOUBLE, 1000::DOUBLE, 0.1::DOUBLE, 0.5::DOUBLE, 1.5::DOUBLE, NULL), ('none', NULL, NULL, NULL, NULL, NULL, 'no reads'), ('bad', NULL, NULL, NULL, NULL, NULL, 'malformed')) t(file, hit_ratio, ops, p50, p99, p999, error)")
+@query("bench_parse_json", "SELECT * FROM (VALUES ('good', 0.9::DOUBLE, 1000::DOUBLE, 0.1::DOUBLE, 0.5::DOUBLE, 1.5::DOUBLE, NULL), ('none', NULL, NULL, NULL, NULL, NULL, 'no reads'), ('bad', NULL, NULL, NULL, NULL, NULL, 'malformed'), ('negative', NULL, NULL, NULL, NULL, NULL, 'no reads'), ('missing', NULL, NULL, NULL, NULL, NULL, 'malformed')) t(file, hit_ratio, ops, p50, p99, p999, error)")
 def bench_parse_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return benchstats.parse_hit_ratio(spark.createDataFrame(list(JSONS.items()), "file string, content string"))
 
 
-REPEATS = "SELECT event_type AS command, user_id % 3 AS run, max(value) AS rps FROM {events} GROUP BY event_type, user_id % 3"
-shared("bench_median_throughput", f"SELECT command, median(rps) AS rps FROM ({REPEATS}) t GROUP BY command", "SELECT command, median(rps) AS rps FROM (" + REPEATS.replace("{events}", "events") + ") t GROUP BY command")
-MID = "SELECT r.experiment, min(r.run_id) AS run_id FROM {rig} r JOIN (SELECT m.experiment, min(abs(r2.ops - m.mid)) AS d, min(m.mid) AS mid FROM {rig} r2 JOIN (SELECT experiment, median(ops) AS mid FROM {rig} GROUP BY experiment) m ON m.experiment = r2.experiment GROUP BY m.experiment) n ON n.experiment = r.experiment AND abs(r.ops - n.mid) = n.d GROUP BY r.experiment"
+#: Results of the rig's load generator: the totals have the hits, or the reads alone have them, or none; some cannot be read.
+LOADS = {
+    "totals": '{"ALL STATS": {"Totals": {"Ops/sec": 1000.6, "Hits/sec": 2, "Misses/sec": 1, %s}}}' % _LATE, "gets": '{"ALL STATS": {"Totals": {"Ops/sec": 10, %s}, "Gets": {"Hits/sec": 1, "Misses/sec": 3}}}' % _LATE,
+    "writes": '{"ALL STATS": {"Totals": {"Ops/sec": 10, %s}}}' % _LATE, "old": '{"ALL STATS": {"Totals": {"Ops/sec": 10, "Percentile Latencies": {"p50.00": 1}}}}', "bad": "no json",
+}
 
 
-@query("bench_median_hit_run", MID)
-def bench_median_hit_run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rig = _rig(spark, sf_dir)
-    mid = rig.groupBy("experiment").agg(F.median("ops").alias("mid"))
-    return rig.join(mid, "experiment").groupBy("experiment").agg(F.min_by("run_id", F.struct(F.abs(F.col("ops") - F.col("mid")), F.col("run_id"))).alias("run_id"))
+@query("rig_parse_load", "SELECT * FROM (VALUES ('totals', 1001::BIGINT, 0.1::DOUBLE, 0.5::DOUBLE, 1.5::DOUBLE, 2.5::DOUBLE, 0.6667::DOUBLE, NULL), ('gets', 10, 0.1, 0.5, 1.5, 2.5, 0.25, NULL), ('writes', 10, 0.1, 0.5, 1.5, 2.5, NULL, NULL), ('old', 0, NULL, NULL, NULL, NULL, NULL, 'no p99.90'), ('bad', 0, NULL, NULL, NULL, NULL, NULL, 'malformed')) t(file, ops, p50, p99, p999, p9999, hit_ratio, error)")
+def rig_parse_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return benchstats.parse_load(spark.createDataFrame(list(LOADS.items()), "file string, content string"))
 
 
+REPEATS = "SELECT event_type AS command, user_id % 3 AS run, max(value) AS rps, min(value) AS p50, max(value) - min(value) AS p99 FROM {events} GROUP BY event_type, user_id % 3"
+shared("bench_median_throughput", f"SELECT command, median(rps) AS rps, median(p50) AS p50, median(p99) AS p99 FROM ({REPEATS}) t GROUP BY command",
+       _oracle(f"SELECT command, list_sort(list(rps))[(count(*) + 1) // 2] AS rps, list_sort(list(p50))[(count(*) + 1) // 2] AS p50, list_sort(list(p99))[(count(*) + 1) // 2] AS p99 FROM ({REPEATS}) t GROUP BY command"))
 RATED = "SELECT experiment, run_id, CASE WHEN hits + misses > 0 THEN CAST(hits AS DOUBLE) / (hits + misses) ELSE 0 END AS ratio FROM rig"
 
 
@@ -450,15 +554,32 @@ def _rig(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(for_spark(RIG).replace("FROM events", "FROM {events}"), events=spark.read.parquet(f"{sf_dir}/events.parquet"))
 
 
-ORDERED = "CASE subject WHEN 'view' THEN 0 WHEN 'click' THEN 1 WHEN 'purchase' THEN 2 ELSE 3 END"
-shared("bench_render_table", f"SELECT '| subject | ops |' || chr(10) || JOIN['| ' || subject || ' | ' || cell || ' |'; chr(10); place, subject] AS rendered FROM (SELECT subject, CASE WHEN max(ops) > 150000 THEN CAST(max(ops) AS STRING) ELSE '—' END AS cell, {ORDERED} AS place FROM {{rig}} GROUP BY subject) t")
+#: The order of subjects in a table; others follow by name.
+ORDER = ["view", "click", "purchase"]
+#: What a suite has measured, for each subject: rates of two commands, a hit ratio and latencies, some of them missing.
+SUITE = """SELECT event_type AS subject, max(CASE WHEN user_id % 2 = 0 AND event_type <> 'error' THEN value * 1000 END) AS get_rps, max(CASE WHEN user_id % 2 = 1 THEN value * 1000 END) AS set_rps,
+  CASE WHEN event_type <> 'signup' THEN CAST(count(*) FILTER (WHERE event_id % 3 = 0) AS DOUBLE) / count(*) END AS hit_ratio, min(value) AS p50, CASE WHEN event_type = 'view' THEN 0.0 ELSE max(value) / 7 END AS p99,
+  CASE WHEN event_type <> 'signup' THEN max(value) / 3 END AS p999 FROM {events} GROUP BY event_type"""
+SKIPPED = ["zeta", "eta"]
+_CELL = "CASE WHEN {x} IS NULL OR {x} <= 0 THEN '—' ELSE printf('{f}', {x}) END"
+
+
+@query("bench_render_table", f"""SELECT '| Server | GET rps | SET rps | Hit ratio | GET p50 ms | GET p99 ms | p99.9 ms |' || chr(10) || '| --- | ---: | ---: | ---: | ---: | ---: | ---: |' || chr(10)
+  || string_agg('| ' || concat_ws(' | ', subject, coalesce(printf('%.0f', get_rps), '—'), coalesce(printf('%.0f', set_rps), '—'), coalesce(printf('%.4f', hit_ratio), '—'), {", ".join(_CELL.replace("{x}", x).replace("{f}", "%.3f") for x in ("p50", "p99", "p999"))}) || ' |' || chr(10), ''
+    ORDER BY coalesce(list_position({ORDER}, subject), 99), subject) || chr(10) || '_Skipped (tooling unavailable): eta, zeta._' || chr(10) AS rendered FROM ({SUITE.replace("{events}", "events")}) t""")
+def bench_render_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    skipped = spark.createDataFrame([(x,) for x in SKIPPED], "subject string")
+    return benchstats.render_table(_spark_sql(spark, sf_dir, SUITE), skipped, ORDER)
+
+
 SUBJECTS = ["alpha", "beta", "gamma", "delta", "epsilon"]
 _MATRICES = {"rig_matrix_e1": ({"subject": SUBJECTS, "data_size": [64, 4096], "rate": [0, 50000, 100000, 200000]}, 40), "rig_matrix_e2": ({"subject": [*SUBJECTS, "zeta"], "cores": [1, 2, 4, 8, 16, 32, 48, 96]}, 48), "rig_matrix_e3": ({"subject": SUBJECTS}, 5)}
 for _name, (_axes, _) in _MATRICES.items():
     _from = " CROSS JOIN ".join(f"(VALUES {', '.join(f'({v!r})' for v in vs)}) AS t{i}({a})" for i, (a, vs) in enumerate(_axes.items()))
     _more = ", cores * 4 AS threads, '0-' || CAST(cores - 1 AS STRING) AS pinned" if "cores" in _axes else ""
     shared(_name, f"SELECT {', '.join(_axes)}{_more} FROM {_from}" + (" WHERE cores <= 48" if "cores" in _axes else ""))
-shared("rig_cov", f"SELECT {CONFIGURATION}, CAST(count(*) AS BIGINT) AS repeats, CASE WHEN avg(ops) = 0 THEN false ELSE stddev_pop(ops) / avg(ops) > 0.05 END AS unstable FROM {{rig}} GROUP BY {CONFIGURATION}")
+shared("rig_cov", f"SELECT {CONFIGURATION}, CAST(count(*) AS BIGINT) AS repeats, round(coalesce(stddev_pop(ops) / nullif(avg(ops), 0), 0), 3) AS cov FROM {{rig}} GROUP BY {CONFIGURATION}",
+       _oracle(f"SELECT {CONFIGURATION}, count(*) AS repeats, CASE WHEN sum(ops) = 0 THEN 0 ELSE round(sqrt(greatest(0, sum(CAST(ops AS DOUBLE) * ops) / count(*) - (sum(ops) / count(*)) ** 2)) / (sum(ops) / count(*)), 3) END AS cov FROM {{rig}} GROUP BY {CONFIGURATION}"))
 shared("rig_validity", f"SELECT {CONFIGURATION}, valid FROM {{gated}}")
 shared("rig_representative", f"SELECT {CONFIGURATION}, run_id, ops FROM {{gated}}")
 shared("rig_report_e1", "SELECT data_size, rate, row_number() OVER (PARTITION BY data_size, rate ORDER BY CASE WHEN p999_us > 0 THEN p999_us ELSE 9000000000 END, subject, cores) AS place, subject, cores, ops, p999_us FROM {gated} WHERE valid = 'valid' AND experiment = 'E1'")
@@ -476,30 +597,89 @@ shared("rig_report_e3", "SELECT row_number() OVER (ORDER BY CASE WHEN hits + mis
 shared("rig_report_excluded", f"SELECT {CONFIGURATION}, valid AS reason FROM {{gated}} WHERE valid <> 'valid'")
 
 MPSTAT = ["Linux 6.1", "10:00:01 CPU %usr %sys %idle", "10:00:02 all 10.00 5.00 85.00", "Average: CPU %usr %sys %idle", "Average: all 20.00 5.00 75.00", "Average: 0 30.00 10.00 60.00", "Average: 1 10.50 0.25 89.25"]
-SAR = ["Average: IFACE rxpck/s txpck/s rxkB/s txkB/s", "Average: lo 9 9 99999.00 99999.00", "Average: eth0 10 10 125.50 250.00", "Average: eth1 1 1 1.00 2.00"]
+SAR = ["Average: IFACE rxpck/s txpck/s rxkB/s txkB/s %ifutil", "Average: lo 9 9 99999.00 99999.00 0.00", "Average: eth0 10 10 125.50 250.00 1.50", "Average: eth1 1 1 1.00 2.00 0.01"]
 IRQ = (["          CPU0 CPU1", "NET_TX: 5 6", "NET_RX: 100 200", "SCHED: 9 9"], ["          CPU0 CPU1", "NET_TX: 7 6", "NET_RX: 150 260", "SCHED: 99 99"])
+SECTIONS = ["noise", "@@MPSTAT@@", *MPSTAT, "@@SAR@@", *SAR, "@@SI1@@", *IRQ[0], "@@SI2@@", *IRQ[1]]
 
 
 def _lines(spark: SparkSession, lines: list[str]) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(lines)), "n int, line string")
+    return spark.createDataFrame([("host", i, x) for i, x in enumerate(lines)], "file string, n int, line string")
+
+
+@query("rig_sections", _values([(i, next((x.strip("@") for x in reversed(SECTIONS[:i]) if x.startswith("@@"))), x) for i, x in enumerate(SECTIONS) if i and not x.startswith("@@")], "n, section, line"))
+def rig_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return benchstats.sections(_lines(spark, SECTIONS)).select("n", "section", "line")
+
+
+@query("rig_host_stats", "SELECT 25.0::DOUBLE AS cpu_avg, 40.0::DOUBLE AS cpu_max, 10.8::DOUBLE AS cpu_pinned, 1.0::DOUBLE AS nic_rx_mbps, 2.0::DOUBLE AS nic_tx_mbps, 1.5::DOUBLE AS nic_util, 112 AS softirq_net")
+def rig_host_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return benchstats.host_stats(_lines(spark, SECTIONS), "1,7").drop("file")
 
 
 @query("rig_mpstat", "SELECT * FROM (VALUES (0, 4000), (1, 1075)) t(core, busy)")
 def rig_mpstat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return benchstats.mpstat(_lines(spark, MPSTAT))
+    return benchstats.mpstat(_lines(spark, MPSTAT)).filter("core >= 0").select("core", F.round(F.col("busy") * 100).cast("long").alias("busy"))
 
 
-@query("rig_sar", "SELECT * FROM (VALUES ('eth0', 1004000, 2000000)) t(iface, rx_bits, tx_bits)")
+@query("rig_sar", "SELECT * FROM (VALUES ('eth0', 1.004::DOUBLE, 2.0::DOUBLE, 1.5::DOUBLE)) t(iface, rx_mbps, tx_mbps, util)")
 def rig_sar(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return benchstats.sar(_lines(spark, SAR))
+    return benchstats.sar(_lines(spark, SAR)).select("iface", "rx_mbps", "tx_mbps", "util")
 
 
 @query("rig_softirq", "SELECT 112 AS delta")
 def rig_softirq(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return benchstats.softirq(_lines(spark, IRQ[0]), _lines(spark, IRQ[1]))
+    return benchstats.softirq(_lines(spark, IRQ[0]), _lines(spark, IRQ[1])).select("delta")
 
 
 @query("rig_cpu_list", "SELECT * FROM (VALUES ('0,2,4-7', 0), ('0,2,4-7', 2), ('0,2,4-7', 4), ('0,2,4-7', 5), ('0,2,4-7', 6), ('0,2,4-7', 7), ('3,3,2-3', 2), ('3,3,2-3', 3)) t(spec, core)")
 def rig_cpu_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.createDataFrame([("0,2,4-7",), ("3,3,2-3",)], "spec string")
     return rows.select("spec", F.explode(benchstats.cpu_list(F.col("spec"))).alias("core"))
+
+
+@query("rig_human_bytes", "SELECT * FROM (VALUES (1073741824, '1gb'), (67108864, '64m'), (1610612736, '1536m'), (4294967296, '4gb'), (1048577, '1m'), (0, '0gb')) t(n, spelled)")
+def rig_human_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame([(n,) for n in (1 << 30, 64 << 20, 1536 << 20, 4 << 30, (1 << 20) + 1, 0)], "n long")
+    return rows.select("n", benchstats.human_bytes(F.col("n")).alias("spelled"))
+
+
+@query("rig_report_e2_detail", """SELECT '| server | cores | ops/s | p99.9 | srvCPU% | NIC% |' || chr(10) || '|---|---|---|---|---|---|' || coalesce(string_agg(chr(10) || '| ' || concat_ws(' | ', subject, cores, ops, CASE WHEN p999_us > 0 THEN printf('%.3f', p999_us / 1000) ELSE '-' END, srv_cpu, srv_nic) || ' |', '' ORDER BY subject, cores, run_id), '') AS rendered
+  FROM gated WHERE valid = 'valid' AND experiment = 'E2'""")
+def rig_report_e2_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = benchstats.gated(_rig(spark, sf_dir)).filter("valid = 'valid' and experiment = 'E2'")
+    late = F.when(F.col("p999_us") > 0, (F.col("p999_us") / 1000).cast("string")).otherwise("none")
+    titles = [("subject", "server"), ("cores", "cores"), ("ops", "ops/s"), ("p999", "p99.9"), ("srv_cpu", "srvCPU%"), ("srv_nic", "NIC%")]
+    return benchstats.markdown(rows.withColumn("p999", benchstats.fixed(late, 3)), titles, [F.col("subject"), F.col("cores"), F.col("run_id")])
+
+
+#: A server of so many cores takes no more of what a configuration asks for.
+SERVER_CORES = 8
+
+
+@query("rig_clamped", f"SELECT run_id, least(cores, {SERVER_CORES}) AS cores, '0-' || (least(cores, {SERVER_CORES}) - 1) AS pinned, least(cores * 2, {SERVER_CORES}) AS threads FROM rig")
+def rig_clamped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return benchstats.clamped(_rig(spark, sf_dir).select("run_id", "cores", (F.col("cores") * 2).alias("threads")), SERVER_CORES, ["threads"])
+
+
+@query("rig_result_row", f"""SELECT {CONFIGURATION}, ops, p999_us, round(cov, 3) AS cov, CASE WHEN hits + misses > 0 THEN round(CAST(hits AS DOUBLE) / (hits + misses), 4) END AS hit_ratio, srv_cpu, cli_cpu, greatest(srv_nic, cli_nic) AS nic, valid FROM gated""")
+def rig_result_row(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The row of each configuration that is written to the results, read from such a file."""
+    reads = F.col("hits") + F.col("misses")
+    rows = benchstats.gated(_rig(spark, sf_dir)).select(*benchstats.CONFIGURATION, "ops", "p999_us", F.round("cov", 3).alias("cov"), F.when(reads > 0, F.round(F.col("hits").cast("double") / reads, 4)).alias("hit_ratio"), "srv_cpu", "cli_cpu", F.greatest("srv_nic", "cli_nic").alias("nic"), "valid")
+    folder = shared_dir(spark, "results")
+    benchstats.write_results(rows, folder, rows.columns)
+    return benchstats.read_results(spark, folder).select(*[F.col(f.name).cast(f.dataType) for f in rows.schema.fields])
+
+
+@query("bench_parse_files", """SELECT command, CAST(run AS VARCHAR) AS file, round(rps, 2) AS rps, round(p50, 2) AS p50 FROM (""" + REPEATS.replace("{events}", "events") + ") t")
+def bench_parse_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The repeats written as the load generator's files, one a run, and read from them."""
+    rows, folder = _spark_sql(spark, sf_dir, REPEATS), shared_dir(spark, "loads")
+    number = lambda c: F.col(c).cast("decimal(20,2)").cast("string")
+    line = F.concat(F.lit('"'), "command", F.lit('",'), number("rps"), F.lit(","), number("p50"))
+    lines = rows.groupBy("run").agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("body")).select("run", F.concat(F.lit("test,rps,p50_latency_ms\n"), "body").alias("text"))
+    lines.write.partitionBy("run").text(folder)
+    # read by place, so that a file's lines keep their order; partition folders name the runs
+    read = spark.read.option("wholetext", True).text(folder)
+    files = read.select(F.col("run").cast("string").alias("file"), F.posexplode(F.split("value", "\n")).alias("n", "line"))
+    return benchstats.parse_throughput(files).select("file", "command", "rps", "p50")

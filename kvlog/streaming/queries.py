@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,11 +9,17 @@ from pyspark.sql import functions as F
 
 from kvlog.plans.catalogue import _oracle
 from kvlog.sources.log import command_log
+from kvlog.sources.shared import shared_dir
 from kvlog.streaming.replay import stream_replay
 
 
+#: Bytes of files that one micro-batch reads: a key's commands in it are folded together.
+BATCH = str(256 << 20)
+
+
 def _drained(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reads the events as a stream in one trigger, and gives the rows that it has put out."""
+    """Reads the events there are as a stream into files of the shared folder, where its checkpoint is
+    too, and gives the rows of these files."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
 
     class Source:
@@ -23,12 +28,12 @@ def _drained(spark: SparkSession, sf_dir: str) -> DataFrame:
         class read:
             @staticmethod
             def parquet(path: str) -> DataFrame:
-                return spark.readStream.schema(schema).parquet(path if _is_folder(spark, path) else path.replace("events.parquet", "event[s].parquet"))
+                return spark.readStream.schema(schema).option("maxBytesPerTrigger", BATCH).parquet(path if _is_folder(spark, path) else path.replace("events.parquet", "event[s].parquet"))
 
-    name = f"kvlog_{uuid.uuid4().hex}"
-    query = stream_replay(command_log(Source, sf_dir)).writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
+    folder, log = shared_dir(spark, "stream"), stream_replay(command_log(Source, sf_dir))
+    query = log.writeStream.format("parquet").option("checkpointLocation", f"{folder}/checkpoint").outputMode("append").trigger(availableNow=True).start(f"{folder}/rows")
     query.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(log.schema).parquet(f"{folder}/rows")
 
 
 def _is_folder(spark: SparkSession, path: str) -> bool:
