@@ -6,7 +6,8 @@ import re
 from collections import Counter
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kvlog.functions import commands, resp
@@ -49,6 +50,16 @@ FROM (SELECT *, row_number() OVER (PARTITION BY {CONFIGURATION} ORDER BY apart,
 WHERE place = 1"""
 
 
+def _quoted(text: str | None) -> str:
+    return "NULL" if text is None else "'" + text.replace("'", "''") + "'"
+
+
+def _literal(rows: list[tuple], columns: str) -> str:
+    """A literal table for either engine."""
+    spelled = ", ".join("(" + ", ".join(_quoted(x) if x is None or isinstance(x, str) else str(x) for x in r) + ")" for r in rows)
+    return f"SELECT * FROM (VALUES {spelled}) AS t({columns})"
+
+
 def _frames(spark: SparkSession, sf_dir: str, sql: str) -> dict[str, DataFrame]:
     log = command_log(spark, sf_dir)
     make = {
@@ -179,8 +190,9 @@ shared("kv_shard_count", f"SELECT n, CAST(CASE WHEN n = 1 THEN 1 ELSE shiftleft(
 shared("kv_sketch_sizing", "SELECT ceiling, CAST(CASE WHEN ceiling <= 0 THEN 1024 ELSE greatest(1024, least(4194304, ceiling ~/ 256)) END AS BIGINT) AS counters FROM (VALUES (0), (-5), (1), (262144), (262400), (1048576), (2000000000)) AS t(ceiling)",
        "SELECT ceiling, CAST(n AS BIGINT) AS counters FROM (VALUES (0, 1024), (-5, 1024), (1, 1024), (262144, 1024), (262400, 1025), (1048576, 4096), (2000000000, 4194304)) AS t(ceiling, n)")
 POLICY = "CASE WHEN {x} IN ('noeviction', 'allkeys-random', 'allkeys-lfu') THEN {x} END"
-shared("kv_policy_parse", f"SELECT name, {POLICY.replace('{x}', 'name')} AS strict, {POLICY.replace('{x}', 'lower(name)')} AS folded FROM (VALUES ('noeviction'), ('allkeys-random'), ('allkeys-lfu'), ('AllKeys-LFU'), ('lru'), ('')) AS t(name)",
-       "SELECT * FROM (VALUES ('noeviction', 'noeviction', 'noeviction'), ('allkeys-random', 'allkeys-random', 'allkeys-random'), ('allkeys-lfu', 'allkeys-lfu', 'allkeys-lfu'), ('AllKeys-LFU', NULL, 'allkeys-lfu'), ('lru', NULL, NULL), ('', NULL, NULL)) AS t(name, strict, folded)")
+POLICIES_ASKED = [("noeviction", "noeviction", "noeviction"), ("allkeys-random", "allkeys-random", "allkeys-random"), ("allkeys-lfu", "allkeys-lfu", "allkeys-lfu"), ("AllKeys-LFU", None, "allkeys-lfu"), ("lru", None, None), ("", None, None)]
+shared("kv_policy_parse", f"SELECT name, {POLICY.replace('{x}', 'name')} AS strict, {POLICY.replace('{x}', 'lower(name)')} AS folded, coalesce({POLICY.replace('{x}', 'name')}, 'unknown') AS spelled FROM (VALUES {', '.join(f'({n!r})' for n, *_ in POLICIES_ASKED)}) AS t(name)",
+       _literal([(n, s, f, s or "unknown") for n, s, f in POLICIES_ASKED], "name, strict, folded, spelled"))
 CONFIG = "(VALUES (1, 'set', 'maxmemory', '1000'), (2, 'get', 'maxmemory', NULL), (3, 'set', 'maxmemory', '-1'), (4, 'set', 'maxmemory', 'x'), (5, 'get', 'maxmemory', NULL), (6, 'set', 'maxmemory-policy', 'NoEviction'), (7, 'get', 'maxmemory-policy', NULL), (8, 'set', 'maxmemory-policy', 'lru'), (9, 'get', 'maxmemory-policy', NULL), (10, 'set', 'save', ''), (11, 'get', 'save', NULL)) AS t(n, verb, name, value)"
 GOOD = "CASE WHEN name = 'maxmemory' AND regexp_replace(value, '^(0|[1-9][0-9]*)$', '') = '' AND length(value) BETWEEN 1 AND 18 THEN value WHEN name = 'maxmemory-policy' AND lower(value) IN ('noeviction', 'allkeys-random', 'allkeys-lfu') THEN lower(value) END"
 shared("kv_config_state", f"""SELECT n, verb, name, CASE WHEN verb = 'get' THEN CASE WHEN name IN ('maxmemory', 'maxmemory-policy') THEN coalesce(state, CASE WHEN name = 'maxmemory' THEN '0' ELSE 'allkeys-lfu' END) ELSE '(empty)' END
@@ -225,10 +237,11 @@ for _v, _null, _bool, _big in ((2, "'$-1'", "':' || live::INT", "'$' || length(s
       ELSE ':' || live::INT END || {E}))) AS frame, lower(hex(encode({_bool} || {E}))) AS as_boolean, lower(hex(encode({_big} || {E}))) AS as_number FROM {{replay}}""")(_replies(_v))
 
 
-@query("resp_map_downgrade", "SELECT n, v, CASE WHEN v >= 3 THEN '%' || n ELSE '*' || (2 * n) END AS header FROM (VALUES (0), (1), (7)) a(n), (VALUES (1), (2), (3), (4)) b(v)")
+@query("resp_map_downgrade", "SELECT n, v, CASE WHEN v >= 3 THEN '%' || n ELSE '*' || (2 * n) END AS header, '*' || n AS plain FROM (VALUES (0), (1), (7)) a(n), (VALUES (1), (2), (3), (4)) b(v)")
 def resp_map_downgrade(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.sql("SELECT * FROM (VALUES (0), (1), (7)) a(n), (VALUES (1), (2), (3), (4)) b(v)")
-    return rows.select("n", "v", F.rtrim(F.regexp_replace(resp.map_header(F.col("n"), F.col("v")), "[\\r\\n]", "")).alias("header"))
+    line = lambda frame: F.rtrim(F.regexp_replace(frame, "[\\r\\n]", ""))
+    return rows.select("n", "v", line(resp.map_header(F.col("n"), F.col("v"))).alias("header"), line(resp.array_header(F.col("n"))).alias("plain"))
 
 
 DOUBLES = [
@@ -260,23 +273,13 @@ FRAMES = [
 ]
 
 
-def _quoted(text: str | None) -> str:
-    return "NULL" if text is None else "'" + text.replace("'", "''") + "'"
-
-
-def _values(rows: list[tuple], columns: str) -> str:
-    """A literal table for either engine."""
-    spelled = ", ".join("(" + ", ".join(_quoted(x) if x is None or isinstance(x, str) else str(x) for x in r) + ")" for r in rows)
-    return f"SELECT * FROM (VALUES {spelled}) AS t({columns})"
-
-
 def _closing(outcome: str) -> tuple[str, str | None]:
     if outcome in ("ok", "truncated", "end"):
         return ("dispatch" if outcome == "ok" else "close"), None
     return "error then close", f"-ERR Protocol error: {outcome}"
 
 
-@query("resp_decode_errors", _values([(i, o, *_closing(o)) for i, (_, o) in enumerate(FRAMES)], "id, outcome, disposition, reply"))
+@query("resp_decode_errors", _literal([(i, o, *_closing(o)) for i, (_, o) in enumerate(FRAMES)], "id, outcome, disposition, reply"))
 def resp_decode_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.sql("SELECT id, unhex(h) AS frame FROM VALUES " + ", ".join(f"({i}, '{f.hex()}')" for i, (f, _) in enumerate(FRAMES)) + " t(id, h)")
     found = rows.select("id").join(resp.decoded(rows).select("id", "outcome"), "id", "left").withColumn("outcome", F.coalesce("outcome", F.lit("end")))
@@ -289,7 +292,7 @@ WRONG = "ERR wrong number of arguments for '{}'"
 ARITY = [("PING", 1, "ok"), ("ping", 3, WRONG.format("ping")), ("Get", 1, WRONG.format("get")), ("GET", 2, "ok"), ("set", 2, WRONG.format("set")), ("DEL", 9, "ok"), ("EXISTS", 1, WRONG.format("exists")), ("FLUSH", 1, "ERR unknown command 'FLUSH', with args beginning with: "), ("HELLO", 6, "ok"), ("select", 2, "ok"), ("CONFIG", 1, WRONG.format("config")), ("a\tb\r\n-OK", 1, "ERR unknown command 'a?b??-OK', with args beginning with: ")]
 
 
-@query("cmd_arity", _values([(i, o) for i, (_, _, o) in enumerate(ARITY)], "n, outcome"))
+@query("cmd_arity", _literal([(i, o) for i, (_, _, o) in enumerate(ARITY)], "n, outcome"))
 def cmd_arity(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.createDataFrame([(i, v, n) for i, (v, n, _) in enumerate(ARITY)], "n int, verb string, argc int")
     known = commands.arity(F.col("verb"))
@@ -314,13 +317,13 @@ TALK = [
 ]
 
 
-@query("cmd_replies", _values([(i, p, r, c) for i, (_, _, p, r, c) in enumerate(TALK)], "n, proto, reply, closes"))
+@query("cmd_replies", _literal([(i, p, r, c) for i, (_, _, p, r, c) in enumerate(TALK)], "n, proto, reply, closes"))
 def cmd_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.createDataFrame([(c, i, a) for i, (c, a, *_) in enumerate(TALK)], "conn int, n int, args array<string>")
     return commands.replies(rows, "kvlog", "1.0").select("n", "proto", F.replace("reply", F.lit(resp.CRLF), F.lit("|")).alias("reply"), F.col("closes").cast("int").alias("closes"))
 
 
-@query("cmd_error_texts", _values([(0, "-OOM command not allowed when used memory > 'maxmemory'|"), (1, "-ERR disk?gone|")], "n, reply"))
+@query("cmd_error_texts", _literal([(0, "-OOM command not allowed when used memory > 'maxmemory'|"), (1, "-ERR disk?gone|")], "n, reply"))
 def cmd_error_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.createDataFrame([(0, None), (1, "disk\tgone")], "n int, fault string")
     text = F.when(F.col("fault").isNull(), F.lit(commands.OUT_OF_MEMORY)).otherwise(commands.engine_error(F.col("fault")))
@@ -353,7 +356,7 @@ def set_expiry(words: str, now_ms: str) -> str:
 SPELLED = {"syntax": "ERR syntax error", "not an integer": "ERR value is not an integer or out of range", "invalid expire": "ERR invalid expire time in 'set' command"}
 
 
-@query("cmd_set_options", _values([(i, SPELLED.get(o, o)) for i, (_, o) in enumerate(OPTIONS)], "n, outcome"))
+@query("cmd_set_options", _literal([(i, SPELLED.get(o, o)) for i, (_, o) in enumerate(OPTIONS)], "n, outcome"))
 def cmd_set_options(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = ", ".join(f"({i}, '{x}')" for i, (x, _) in enumerate(OPTIONS))
     return spark.sql(f"SELECT n, {set_expiry('words', str(NOW_S * 1000))} AS outcome FROM (SELECT n, filter(split(x, ' '), w -> w <> '') AS words FROM VALUES {rows} t(n, x))")
@@ -484,14 +487,18 @@ QUERIES["sketch_error"] = lambda spark, sf_dir: _estimates(spark, sf_dir).select
 
 @query("sketch_halve", "SELECT before, before // 2 AS after FROM (VALUES (0), (1), (2), (7), (14), (15)) t(before)")
 def sketch_halve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = []
-    for n in (0, 1, 2, 7, 14, 15):
-        s = sketch.Sketch(64)
-        for _ in range(n):
-            s.increment(99)
-        s.halve()
-        rows.append((n, s.estimate(99)))
-    return spark.createDataFrame(rows, "before int, after int")
+    def run(batches):
+        for batch in batches:
+            after = []
+            for n in batch.column(0).to_pylist():
+                s = sketch.Sketch(64)
+                for _ in range(n):
+                    s.increment(99)
+                s.halve()
+                after.append(s.estimate(99))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(after, pa.int32())], ["before", "after"])
+
+    return spark.createDataFrame([(n,) for n in (0, 1, 2, 7, 14, 15)], "before int").mapInArrow(run, "before int, after int")
 
 
 @query("door_fpr", "SELECT true AS within_bound, 4000 AS inserted")
@@ -606,7 +613,7 @@ def _lines(spark: SparkSession, lines: list[str]) -> DataFrame:
     return spark.createDataFrame([("host", i, x) for i, x in enumerate(lines)], "file string, n int, line string")
 
 
-@query("rig_sections", _values([(i, next((x.strip("@") for x in reversed(SECTIONS[:i]) if x.startswith("@@"))), x) for i, x in enumerate(SECTIONS) if i and not x.startswith("@@")], "n, section, line"))
+@query("rig_sections", _literal([(i, next((x.strip("@") for x in reversed(SECTIONS[:i]) if x.startswith("@@"))), x) for i, x in enumerate(SECTIONS) if i and not x.startswith("@@")], "n, section, line"))
 def rig_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return benchstats.sections(_lines(spark, SECTIONS)).select("n", "section", "line")
 
