@@ -30,6 +30,8 @@ DICTIONARY_BYTES = 64 << 10
 #: Bytes of evenly spaced records that a dictionary is trained on, the most of one of them (what
 #: follows is archived like all else, but not trained on), and bytes of records in a file.
 TRAINING_BYTES, TRAINING_RECORD, FILE_BYTES = 2 << 20, 128 << 10, 32 << 20
+#: Payloads that repeat, 28 bytes each, which are sent to all tasks at most.
+SENT = 1 << 20
 LEVEL = 6
 DATE = "2024-01-01T00:00:00Z"
 URN = "urn:x-page:"
@@ -124,14 +126,15 @@ class _Joined(io.RawIOBase):
         return len(got)
 
 
-def decided(pages: DataFrame) -> DataFrame:
-    """(page_id, url, html, refers_to): the page whose record holds the payload, null for that
-    page itself. A digest's largest page_id is a partial aggregate; the join by digest is one
+def decided(pages: DataFrame, sent: int = SENT) -> DataFrame:
+    """(page_id, url, html, refers_to): the page whose record holds the payload, null for that page
+    itself. A digest's largest page_id is a partial aggregate of narrow rows. Up to `sent`
+    payloads that repeat are looked up where the pages are; more are joined by digest, in a join
     that Spark may split, so a payload that most pages share is never one task's work."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    rows = rows.withColumn("digest", F.sha1(F.col("html").cast("binary")))
-    most = pages.select(F.col("page_id").cast("long").alias("id"), F.sha1(F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")).alias("digest"))
-    shared = most.groupBy("digest").agg(F.max("id").alias("kept"), F.count("*").alias("n")).filter("n > 1 and kept is not null").select("digest", "kept")
+    rows = rows.withColumn("digest", F.unhex(F.sha1(F.col("html").cast("binary"))))
+    shared = cut(rows.groupBy("digest").agg(F.max("page_id").alias("kept"), F.count("*").alias("n")).filter("n > 1 and kept is not null").select("digest", "kept"))
+    shared = F.broadcast(shared) if shared.count() <= sent else shared
     return rows.join(shared, "digest", "left").select("page_id", "url", "html", F.when(~F.col("page_id").eqNullSafe(F.col("kept")), F.col("kept")).alias("refers_to"))
 
 
@@ -167,8 +170,7 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
         if held:
             yield flush()
 
-    rows = decided(pages).sortWithinPartitions("page_id", "url", "html")
-    return cut(rows.mapInArrow(write, "path string, records long, bytes long"))
+    return cut(decided(pages).mapInArrow(write, "path string, records long, bytes long"))
 
 
 def read_archives(manifest: DataFrame, folder: str) -> DataFrame:

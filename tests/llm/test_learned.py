@@ -122,6 +122,35 @@ def test_language(spark, tables):
     assert {r["lang_pred"] for r in language.predict(odd(spark), None).collect()} == {"und"}
 
 
+def test_decoding_equals_loops_and_ties_go_to_the_first():
+    rng = np.random.default_rng(3)
+    code = language.codewords(6)
+    width = language.BUCKETS * len(language.ORDERS)
+    model = language.Model(list("abcdef"), code, rng.normal(size=(width, code.shape[1])).astype(np.float32), rng.normal(size=code.shape[1]).astype(np.float32), rng.random(code.shape[1]).astype(np.float32))
+    texts = ["some words", "ein Satz", "x", "more of the same words again"]
+    for text, row in zip(texts, model.scores(texts), strict=True):
+        margin = [float(language.features(text) @ model.weights[:, b] + model.bias[b]) for b in range(code.shape[1])]
+        loss = [sum(model.trust[b] * np.log1p(np.exp(-margin[b] * code[c, b])) for b in range(code.shape[1])) for c in range(6)]
+        p = np.exp(min(loss) - np.array(loss))
+        assert np.allclose(row, p / p.sum(), atol=1e-4)
+    none = language.Model(["a", "b", "c"], language.codewords(3), np.zeros((width, 3), np.float32), np.zeros(3, np.float32), np.ones(3, np.float32))
+    assert none.scores(["any text"]).argmax() == 0 and np.allclose(none.scores(["any text"]), 1 / 3)
+
+
+@pytest.mark.parametrize("chunk", [1, 3, 64])
+def test_parts_of_a_long_text_count_as_the_whole(monkeypatch, chunk):
+    texts = ["", "a", "ab cd", "Größe und Maß 123 " * 9]
+    whole = [language.features(t) for t in texts]
+    monkeypatch.setattr(language, "CHUNK", chunk)
+    assert all(np.allclose(a, language.features(t)) for a, t in zip(whole, texts, strict=True))
+
+
+def test_no_rows_are_no_rows(spark):
+    none = odd(spark).limit(0)
+    assert quality.scored(none, None).count() == 0 and language.predict(none, None).count() == 0
+    assert quality.train(none, spark.createDataFrame([], "doc_id long, quality int")) is None
+
+
 def test_no_language_is_left_out(spark):
     rows = spark.range(1050).selectExpr("id as doc_id", "concat('text ', id) as text", "concat('l', id % 250) as lang")
     found = {r["lang"]: r["count"] for r in common.sample_by(rows, "lang", 3).groupBy("lang").count().collect()}

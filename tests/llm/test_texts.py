@@ -114,8 +114,9 @@ def test_examples_bear_loss_on_answers_alone(spark):
 
 def test_archives_round_trip(spark):
     html = ["<html>" + "common words " * 40 + str(i % 40) for i in range(300)]
-    rows = [*((i, f"http://h/{i}\r\nx", h) for i, h in enumerate(html)), (900, None, None), (901, "u", ""), (None, "u", html[0]), (None, "u", "only this"), (5, "u", html[5])]
+    rows = [*((i, f"http://h/{i}\r\nx", h) for i, h in enumerate(html)), (900, None, None), (901, "u", ""), (None, "u", html[0]), (None, "u", "only this"), (5, "u", html[5]), (6, "u", "another payload of the same id"), (7, "é <x>", "long " * 300000), (8, None, "long " * 300000)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert sorted(map(str, warc.decided(pages, 0).collect())) == sorted(map(str, warc.decided(pages).collect()))
     folder = fresh_dir(spark, "warc")
     manifest = warc.write_archives(pages, folder)
     found = warc.read_archives(manifest, folder).collect()
