@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import small_batches, table
-from .tokens import VOCABULARY, Vocabulary, load
+from .tokens import VOCABULARY, Vocabulary, model_at
 
 #: The id that ends a document.
 END = 0
@@ -133,11 +133,11 @@ def _packed(texts: DataFrame, path: str, limits: Limits, cut: bool, end: int, lo
     """The pieces of `texts` (doc_id, text, text): what bears no loss, and what does. With `loss` also
     the loss-bearing tokens of each piece."""
     small_batches(texts.sparkSession)
-    shared = texts.sparkSession.sparkContext.broadcast(load(path))
+    shared = texts.sparkSession.sparkContext.broadcast(model_at(path))
     names = [*_PIECES, "loss_tokens"] if loss else _PIECES
 
     def pack(batches):
-        vocabulary, packer = Vocabulary(*shared.value), VectorPacker(limits, cut)
+        vocabulary, packer = Vocabulary(shared.value), VectorPacker(limits, cut)
         base, last = TaskContext.get().partitionId() << 33, end.to_bytes(4, "little")
         waiting: dict[int, list] = {}  # item: its doc_id, ids, tokens of the prompt, and tokens not yet placed
 

@@ -24,6 +24,8 @@ LIMIT = 1024
 VOCABULARY = "byte_bpe_50k.json"
 #: Pre-tokens that a worker remembers beside the whole-token table; then it starts anew.
 REMEMBERED = 300_000
+#: Strings that are proved at once: what the library gives for one is about a kilobyte.
+PROVED = 1024
 LONGEST_REMEMBERED = 64
 
 #: The alternatives of the public pattern, likeliest first: no two of them, but for the last two, begin alike.
@@ -53,9 +55,11 @@ def whole_tokens(model: str) -> dict[str, int]:
             continue
         if text not in special and pre_tokens(text) == [text]:
             found[text] = number
-    texts = list(found)
-    proved = tok.encode_batch(texts, add_special_tokens=False)
-    return {t: found[t] for t, e in zip(texts, proved, strict=True) if e.ids == [found[t]]}
+    texts, out = list(found), {}
+    for at in range(0, len(texts), PROVED):
+        part = texts[at : at + PROVED]
+        out |= {t: found[t] for t, e in zip(part, tok.encode_batch(part, add_special_tokens=False), strict=True) if e.ids == [found[t]]}
+    return out
 
 
 class _Counts(dict):
@@ -76,11 +80,11 @@ class _Counts(dict):
 
 
 class Vocabulary:
-    """Counts and encodes texts as the library does by default: strings of special tokens within
+    """Counts, by the whole tokens given, and encodes texts as the library does by default: strings of special tokens within
     a text are those tokens; nothing is added, truncated or padded. Where the merges of the
     vocabulary are in the order of its ids, as in rank files, they are applied by rank."""
 
-    def __init__(self, model: str, whole: dict[str, int]):
+    def __init__(self, model: str, whole: dict[str, int] | None = None):
         spec = json.loads(model)
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.split = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
@@ -93,7 +97,7 @@ class Vocabulary:
         else:
             tok = Tokenizer.from_str(model)
             self.encode_plain = merge = lambda text: tok.encode(text, add_special_tokens=False).ids
-        self.counts = _Counts(whole, merge)
+        self.counts = _Counts(whole or {}, merge)
 
     def parts(self, text: str) -> list[str]:
         """Plain and special parts by turns, beginning with a plain one."""
@@ -109,10 +113,15 @@ class Vocabulary:
         return b"".join(np.asarray(self.encode_plain(p), "<u4").tobytes() if k % 2 == 0 else self.special[p].to_bytes(4, "little") for k, p in enumerate(parts))
 
 
-def load(path: str) -> tuple[str, dict[str, int]]:
-    """What executors need of a vocabulary: its model and its proved whole tokens, a few MB."""
+def model_at(path: str) -> str:
+    """The model of a vocabulary file, all that encoding needs, a few MB."""
     with open(path, encoding="utf-8") as f:
-        model = f.read()
+        return f.read()
+
+
+def load(path: str) -> tuple[str, dict[str, int]]:
+    """What counting needs of a vocabulary: its model and its proved whole tokens."""
+    model = model_at(path)
     return model, whole_tokens(model)
 
 
