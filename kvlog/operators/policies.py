@@ -38,6 +38,21 @@ def fingerprint(key: str, seed: int = 0) -> int:
     return int.from_bytes(hashlib.blake2b(key.encode(), digest_size=8, key=seed.to_bytes(8, "little")).digest(), "little")
 
 
+#: What a cache is built with where nothing else is asked for, on a machine of so many cores.
+DEFAULTS, CORES = {"policy": "allkeys-lfu", "maxmemory": "0", "shards": "0", "seed": "1", "clock": "log"}, 8
+
+
+def built(settings: DataFrame) -> DataFrame:
+    """(cache, policy, maxmemory, shards, seed, clock) of each cache of `settings` (cache, n, name,
+    value): of the values of a name the last one holds, null ones are passed over. A ceiling below
+    zero is none; shards are a power of two, by the cores where none are asked for."""
+    last = lambda name: F.coalesce(F.max_by("value", F.when((F.col("name") == name) & F.col("value").isNotNull(), F.col("n"))), F.lit(DEFAULTS[name]))
+    rows = settings.groupBy("cache").agg(*[last(n).alias(n) for n in DEFAULTS])
+    n = F.when(F.col("shards").cast("long") > 0, F.col("shards").cast("long")).otherwise(F.lit(4 * CORES).cast("long"))
+    power = F.when(n == 1, F.lit(1).cast("long")).otherwise(F.pow(F.lit(2.0), F.length(F.bin(n - 1))).cast("long"))
+    return rows.select("cache", "policy", F.greatest(F.lit(0).cast("long"), F.col("maxmemory").cast("long")).alias("maxmemory"), power.cast("int").alias("shards"), F.col("seed").cast("int").alias("seed"), "clock")
+
+
 @dataclass
 class Outcome:
     ok: bool

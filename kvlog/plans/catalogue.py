@@ -190,6 +190,15 @@ shared("kv_shard_count", f"SELECT n, CAST(CASE WHEN n = 1 THEN 1 ELSE shiftleft(
 shared("kv_sketch_sizing", "SELECT ceiling, CAST(CASE WHEN ceiling <= 0 THEN 1024 ELSE greatest(1024, least(4194304, ceiling ~/ 256)) END AS BIGINT) AS counters FROM (VALUES (0), (-5), (1), (262144), (262400), (1048576), (2000000000)) AS t(ceiling)",
        "SELECT ceiling, CAST(n AS BIGINT) AS counters FROM (VALUES (0, 1024), (-5, 1024), (1, 1024), (262144, 1024), (262400, 1025), (1048576, 4096), (2000000000, 4194304)) AS t(ceiling, n)")
 POLICY = "CASE WHEN {x} IN ('noeviction', 'allkeys-random', 'allkeys-lfu') THEN {x} END"
+#: Settings of caches in the order they were given: cache, place, name, value.
+SETTINGS = [(1, 1, "shards", "3"), (1, 2, "policy", "noeviction"), (1, 3, "shards", "9"), (1, 4, "policy", None), (2, 1, "maxmemory", "-5"), (2, 2, "seed", "7"), (2, 3, "clock", None), (3, 1, "clock", "log"), (3, 2, "maxmemory", "4096"), (3, 3, "maxmemory", "8192")]
+
+
+@query("kv_options", _literal([(1, "noeviction", 0, 16, 1, "log"), (2, "allkeys-lfu", 0, 32, 7, "log"), (3, "allkeys-lfu", 8192, 32, 1, "log")], "cache, policy, maxmemory, shards, seed, clock"))
+def kv_options(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return policies.built(spark.createDataFrame(SETTINGS, "cache int, n int, name string, value string"))
+
+
 POLICIES_ASKED = [("noeviction", "noeviction", "noeviction"), ("allkeys-random", "allkeys-random", "allkeys-random"), ("allkeys-lfu", "allkeys-lfu", "allkeys-lfu"), ("AllKeys-LFU", None, "allkeys-lfu"), ("lru", None, None), ("", None, None)]
 shared("kv_policy_parse", f"SELECT name, {POLICY.replace('{x}', 'name')} AS strict, {POLICY.replace('{x}', 'lower(name)')} AS folded, coalesce({POLICY.replace('{x}', 'name')}, 'unknown') AS spelled FROM (VALUES {', '.join(f'({n!r})' for n, *_ in POLICIES_ASKED)}) AS t(name)",
        _literal([(n, s, f, s or "unknown") for n, s, f in POLICIES_ASKED], "name, strict, folded, spelled"))
