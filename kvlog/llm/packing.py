@@ -158,7 +158,7 @@ def _packed(texts: DataFrame, path: str, limits: Limits, cut: bool, end: int, lo
         for batch in batches:
             done = []
             for doc_id, free, bearing in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                prompt = vocabulary.encode(free or "")
+                prompt = vocabulary.encode(free) if free else b""
                 ids = prompt + vocabulary.encode(bearing or "") + last
                 waiting[item] = [doc_id, ids, len(prompt) // 4, len(ids) // 4]
                 done += packer.add(item, len(ids) // 4, (len(ids) - len(prompt)) // 4)
