@@ -1,16 +1,18 @@
 """Replay of a log against memory ceilings: no eviction, random, frequency-based, exact LRU.
 
-Whether a command finds its key depends on all commands before it, of whatever key, so one
-trace under one configuration is sequential. Parallelism is that of the configurations: each is
-a group, and the log is read once for all of them.
+Whether a command finds its key under a ceiling depends on all commands before it, of whatever
+key, so one trace under one configuration is sequential. Parallelism is that of the configurations;
+each passes over the log part by part, a task each, and the log is sorted once for all of them.
+Without a ceiling keys are independent, and so are tasks.
 """
 
 from __future__ import annotations
 
 import hashlib
+import pickle
 from collections import OrderedDict
 from dataclasses import dataclass
-from itertools import groupby
+from itertools import groupby, pairwise
 
 import numpy as np
 import pandas as pd
@@ -20,8 +22,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
+from kvlog.sources.shared import removed, shared_dir
+
 from .replay import BLOCK, ENTRY
-from .sketch import Frequencies, mix, sketch_size
+from .sketch import MOST, ROWS, Frequencies, mixed, sketch_size
 
 POLICIES = ("noeviction", "allkeys-random", "allkeys-lfu")
 #: Candidates of an eviction, the draws that look for them, and evictions in vain before it gives up.
@@ -60,46 +64,76 @@ class Outcome:
     evicted: int
 
 
+#: The expiry of what stays, later than any instant.
+NEVER = (1 << 63) - 1
+#: Draws that are hashed at once, and keys whose places in the sketch are kept.
+AHEAD, KNOWN = 1 << 12, 1 << 16
+
+
 class Simulator:
     """A keyspace with a ceiling in bytes; zero and less mean none. Victims are the best of
     DRAWS distinct candidates, drawn by a hash of (seed, number of the draw), so that a run repeats."""
 
     def __init__(self, policy: str = "allkeys-lfu", ceiling: int = 0, seed: int = 1):
         self.policy, self.ceiling, self.seed = parse_policy(policy), ceiling, seed
-        self.entries: dict[str, tuple[int, int | None]] = {}
+        self.entries: dict[str, tuple[int, int]] = {}
         self.order: list[str] = []
         self.place: dict[str, int] = {}
         self.usage = self.hits = self.misses = self.evictions = self.drawn = 0
         self.frequencies = Frequencies(sketch_size(ceiling), seed)
+        self._known: dict[str, list[int]] = {}
+        self._ahead: list[int] = []
+
+    def __getstate__(self) -> dict:
+        """Without what follows from the rest."""
+        return {k: v for k, v in self.__dict__.items() if k != "place"} | {"_known": {}, "_ahead": []}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state, place={k: i for i, k in enumerate(state["order"])})
 
     @property
     def active(self) -> bool:
         return self.policy == "allkeys-lfu" and self.ceiling > 0
 
-    def _live(self, key: str, now: int) -> bool:
-        entry = self.entries.get(key)
-        return entry is not None and (entry[1] is None or now < entry[1])
+    def _places(self, key: str) -> list[int]:
+        """The key's places in the sketch and, behind these, in the doorkeeper; some are kept."""
+        known = self._known.get(key)
+        if known is None:
+            if len(self._known) >= KNOWN:
+                self._known.clear()
+            known = self._known[key] = self.frequencies.places(fingerprint(key, self.seed))
+        return known
 
     def get(self, key: str, now: int) -> bool:
-        if not self._live(key, now):
+        entry = self.entries.get(key)
+        if entry is None or now >= entry[1]:
             self.misses += 1
             return False
         self.hits += 1
         if self.active:
-            self.frequencies.record(fingerprint(key, self.seed))
+            self.frequencies.record_at(self._places(key))
         return True
 
     def set(self, key: str, size: int, now: int, ttl: int | None = None) -> Outcome:
-        new, old = len(key.encode()) + size + ENTRY, self.entries.get(key, (0,))[0]
-        delta = new - old
+        new, before = len(key.encode()) + size + ENTRY, self.evictions
+        written = self.usage + new - self.entries.get(key, (0,))[0]
+        ok = self.put(key, new, now + ttl if ttl and ttl > 0 else NEVER)
+        return Outcome(ok, written if ok else self.usage, self.evictions - before)
+
+    def put(self, key: str, new: int, expires: int) -> bool:
+        """A write of an entry of `new` bytes in all; false where there is no room for it."""
+        old = self.entries.get(key)
+        delta = new - old[0] if old else new
         if self.policy == "noeviction" and self.ceiling > 0 and delta > 0 and self.usage + delta > self.ceiling:
-            return Outcome(False, self.usage, 0)
-        if key not in self.place:
+            return False
+        if old is None:
             self.place[key] = len(self.order)
             self.order.append(key)
-        self.entries[key] = new, now + ttl if ttl and ttl > 0 else None
+        self.entries[key] = new, expires
         self.usage += delta
-        return Outcome(True, self.usage, self._evict(key))
+        if self.usage > self.ceiling:
+            self._evict(key)
+        return True
 
     def _remove(self, key: str) -> None:
         self.usage -= self.entries.pop(key)[0]
@@ -108,14 +142,16 @@ class Simulator:
             self.order[at], self.place[last] = last, at
 
     def delete(self, key: str, now: int) -> bool:
-        live = self._live(key, now)
-        if key in self.entries:
-            self._remove(key)
-        return live
+        entry = self.entries.get(key)
+        if entry is None:
+            return False
+        self._remove(key)
+        return now < entry[1]
 
     def set_ceiling(self, ceiling: int) -> int:
         if sketch_size(ceiling) != sketch_size(self.ceiling):
             self.frequencies.resize(sketch_size(ceiling))
+            self._known.clear()
         self.ceiling = ceiling
         return self._evict(None)
 
@@ -123,16 +159,34 @@ class Simulator:
         """Holds for the evictions to come; nothing is evicted for it."""
         self.policy = parse_policy(policy)
 
+    def _hash_ahead(self) -> None:
+        at = np.arange(self.drawn + 1, self.drawn + 1 + AHEAD, dtype=np.uint64) + np.uint64(self.seed * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+        self._ahead = mixed(at)[::-1].tolist()
+
     def _sample(self) -> list[str]:
         """DRAWS distinct keys, fewer only where a bounded number of draws does not meet as many."""
         found: dict[str, None] = {}
-        for _ in range(TRIES if self.order else 0):
-            if len(found) == min(DRAWS, len(self.order)):
+        order, n = self.order, len(self.order)
+        most = min(DRAWS, n)
+        for _ in range(TRIES if order else 0):
+            if len(found) == most:
                 break
+            if not self._ahead:
+                self._hash_ahead()
             self.drawn += 1
-            found[self.order[mix(self.seed * 0x9E3779B97F4A7C15 + self.drawn & (1 << 64) - 1) % len(self.order)]] = None
+            found[order[self._ahead.pop() % n]] = None
         return list(found)
 
+    def _rarest(self, keys: list[str]) -> str:
+        """The first of the keys with the least estimate."""
+        known, cells, best, least = self._known, self.frequencies.sketch.cells, None, MOST + 1
+        for key in keys:
+            a, b, c, d = (known.get(key) or self._places(key))[:ROWS]
+            n = min(cells[a], cells[b], cells[c], cells[d])
+            if n < least:
+                best, least = key, n
+        return best
+
     def _evict(self, written: str | None) -> int:
         if self.policy == "noeviction" or self.ceiling <= 0:
             return 0
@@ -144,8 +198,7 @@ class Simulator:
                 if fruitless > FRUITLESS:
                     break
                 continue
-            victim = drawn[0] if self.policy == "allkeys-random" else min(drawn, key=lambda k: self.frequencies.estimate(fingerprint(k, self.seed)))
-            self._remove(victim)
+            self._remove(drawn[0] if self.policy == "allkeys-random" else self._rarest(drawn))
             evicted += 1
         self.evictions += evicted
         return evicted
@@ -178,37 +231,196 @@ def in_order(rows: DataFrame, keys: int, fold, schema: str) -> DataFrame:
     return rows.repartition(*by[:keys]).sortWithinPartitions(*by).mapInArrow(run, schema)
 
 
-def replay_policies(log: DataFrame, configurations: list[tuple[str, int]], fill: int | None = None, lower_to: int | None = None, switch_to: str | None = None, seed: int = 1, warm: int = 0) -> DataFrame:
+#: Rows of a log that one task passes over before it hands on what it holds.
+PART = 1 << 20
+#: Bytes of one row of what is handed on.
+SLICE = 1 << 24
+HELD = "slot int, number long, rows binary"
+
+
+def _packed(batches):
+    """Each batch as one row (part, number, rows) without its leading (part, seq), compressed."""
+    for number, b in enumerate(b for b in batches if b.num_rows):
+        own, sink = b.drop_columns(b.schema.names[:2]), pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, own.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            out.write_batch(own)
+        yield pa.RecordBatch.from_arrays([b.column(0)[:1], pa.array([number], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["part", "number", "rows"])
+
+
+def _sliced(slot: int, machine):
+    held = pickle.dumps(machine, pickle.HIGHEST_PROTOCOL)
+    starts = range(0, len(held), SLICE)
+    return [(slot, i - len(starts), held[at : at + SLICE]) for i, at in enumerate(starts)]
+
+
+def in_parts(rows: DataFrame, machines: list, schema: str, part: int = PART) -> DataFrame:
+    """What `results()` of each machine yields after all of `rows`, which has passed through its
+    `feed(*columns)` in the order of seq, the first column; fed are lists of the others, without nulls but for texts.
+
+    The rows are cut by ranges of seq into parts of about `part` rows, each sorted and packed by a
+    task of its own. Part by part each machine is one task: it takes the machine as the part before
+    left it, in the shared folder, and leaves it there again. So a task's time and memory are those
+    of a part and of what a machine holds, however long the log is."""
+    spark, n = rows.sparkSession, rows.count()
+    if not n:
+        return spark.createDataFrame([], schema)
+    folder, parts, results = shared_dir(spark, "replay"), -(-n // part), StructType.fromDDL(schema)
+    cut = rows.repartitionByRange(parts, rows.columns[0]).select(F.spark_partition_id().alias("part"), *rows.columns)
+    cut.sortWithinPartitions("part", rows.columns[0]).mapInArrow(_packed, "part int, number long, rows binary").write.partitionBy("part").parquet(f"{folder}/log")
+    log = spark.read.schema("number long, rows binary, part int").parquet(f"{folder}/log")
+    each = F.explode(F.array(*[F.lit(i) for i in range(len(machines))])).alias("slot")
+
+    def stage(kinds: StructType, leave):
+        def run(batches):
+            flat = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
+            for slot, own in groupby(flat, key=lambda r: r[0]):
+                held, machine = [], None
+                for _, number, data in own:
+                    if number < 0:
+                        held.append(data)
+                        continue
+                    machine, held = machine or pickle.loads(b"".join(held)), []
+                    for b in pa.ipc.open_stream(data):
+                        machine.feed(*(c.to_numpy(zero_copy_only=False).tolist() for c in b.columns))
+                for row in leave(slot, machine or pickle.loads(b"".join(held))):
+                    yield pa.RecordBatch.from_arrays([pa.array([x], to_arrow_type(f.dataType)) for x, f in zip(row, kinds.fields, strict=True)], kinds.names)
+
+        return run
+
+    held = spark.createDataFrame([r for i, m in enumerate(machines) for r in _sliced(i, m)], HELD)
+    for i in range(parts):
+        last = i == parts - 1
+        kinds, leave = (results, lambda _, m: m.results()) if last else (StructType.fromDDL(HELD), _sliced)
+        own = held.unionByName(log.filter(F.col("part") == i).select(each, "number", "rows"))
+        own = own.repartitionById(len(machines), "slot").sortWithinPartitions("slot", "number").mapInArrow(stage(kinds, leave), schema if last else HELD)
+        own.write.parquet(f"{folder}/{i}")
+        held = spark.read.schema(schema if last else HELD).parquet(f"{folder}/{i}")
+        for done in (f"{folder}/{i - 1}", f"{folder}/log{'' if last else f'/part={i}'}"):
+            removed(spark, done)
+    return held
+
+
+READ, SET, DEL, ASTRAY = 1, 2, 3, 4
+
+
+class Replaying:
+    """One configuration's replay of a log, of rows as `commands` makes them."""
+
+    def __init__(self, policy: str, ceiling: int, seed: int, fill: bool, warm: int, half: int, lower_to: int | None, switch_to: str | None):
+        self.policy, self.ceiling, self.sim = policy, int(ceiling), Simulator(policy, int(ceiling), seed)
+        self.fill, self.warm, self.half, self.lower_to, self.switch_to = fill, warm, half, lower_to, switch_to
+        self.at = self.rejected = 0
+
+    def feed(self, *columns: list) -> None:
+        n = len(columns[0])
+        cuts = sorted({0, n} | {x - self.at for x in (self.warm, self.half) if 0 <= x - self.at < n})
+        for a, b in pairwise(cuts):
+            self._turn(self.at + a)
+            self._run(*(c[a:b] for c in columns))
+        self.at += n
+
+    def _turn(self, at: int) -> None:
+        if at == self.warm:
+            self.sim.hits = self.sim.misses = 0
+        if at == self.half and self.switch_to:
+            self.sim.set_policy(self.switch_to)
+        if at == self.half and self.lower_to is not None:
+            self.sim.set_ceiling(self.lower_to)
+
+    def _run(self, ops: list, keys: list, instants: list, costs: list, expiries: list) -> None:
+        sim, get, put, delete = self.sim, self.sim.get, self.sim.put, self.sim.delete
+        for op, key, now, cost, expires in zip(ops, keys, instants, costs, expiries, strict=True):
+            if op == READ:
+                if not get(key, now) and self.fill and not put(key, cost, NEVER):
+                    self.rejected += 1
+            elif op == SET:
+                if not put(key, cost, expires):
+                    self.rejected += 1
+            elif op == DEL:
+                delete(key, now)
+            elif op == ASTRAY:
+                sim.misses += 1
+
+    def results(self):
+        sim = self.sim
+        yield self.policy, self.ceiling, sim.hits, sim.misses, sim.evictions, self.rejected, sim.usage, len(sim.entries)
+
+
+def commands(log: DataFrame, fill: int | None) -> DataFrame:
+    """(seq, op, key, now, cost, expires): codes of commands, and for what is or may be written its
+    bytes and expiry. A null value has no bytes; at a null instant all that expires has expired.
+    Without a key a read misses and nothing is written."""
+    read = F.col("op").isin("GET", "EXISTS")
+    op = F.when(F.col("key").isNull(), F.when(read, ASTRAY)).when(read, READ).when(F.col("op") == "SET", SET).when(F.col("op") == "DEL", DEL)
+    size = F.when(read, F.lit(fill or 0)).otherwise(F.coalesce("value_len", F.lit(0)))
+    never = F.lit(NEVER)
+    return log.select(
+        "seq",
+        F.coalesce(op, F.lit(0)).cast("tinyint").alias("op"),
+        "key",
+        F.coalesce("ts_us", never - 1).alias("now"),
+        F.coalesce(F.octet_length("key") + size + ENTRY, F.lit(0)).cast("long").alias("cost"),
+        F.coalesce(F.when(F.col("ttl_us") > 0, F.try_add("ts_us", "ttl_us")), never).alias("expires"),
+    )
+
+
+def replay_unbounded(log: DataFrame, fill: bool, warm: int, block: int = BLOCK) -> DataFrame:
+    """(hits, misses, usage, physical) of `commands` without a ceiling, where keys do not bear on
+    each other. What a key holds is its last mutation and, as a read that misses fills, the latest instant
+    of a read since: was that past the expiry, the entry was filled. Within blocks of seq both are
+    found by windows; of each key and block one row is carried forward, so one hot key is many tasks' work."""
+    read = F.col("op") == READ
+    rows = log.filter(F.col("op").isin(READ, SET, DEL)).select(
+        "key", "seq", "now", "cost", read.alias("read"), F.floor(F.col("seq") / block).alias("b"),
+        F.when(~read, F.struct((F.col("op") == SET).alias("set"), "cost", "expires")).alias("m"),
+        (F.when(read, F.col("now")) if fill else F.lit(None).cast("long")).alias("r"),
+        F.when(read, F.col("cost")).alias("filled"),
+    )
+    rows = rows.withColumn("turn", F.count("m").over(Window.partitionBy("key", "b").orderBy("seq")))
+    turns = rows.groupBy("key", "b", "turn").agg(F.first("m", ignorenulls=True).alias("m"), F.max("r").alias("r"), F.max("filled").alias("filled"))
+    ends = turns.groupBy("key", "b").agg(F.max_by(F.struct("m", "r"), "turn").alias("e"), F.max("filled").alias("filled"))
+    ends = ends.select("key", "b", "filled", "e.m", "e.r")
+    blocks = Window.partitionBy("key").orderBy("b")
+    ends = ends.withColumn("turn", F.count("m").over(blocks))
+    same = Window.partitionBy("key", "turn").orderBy("b")
+    ends = ends.select("key", "b", "filled", F.first("m", ignorenulls=True).over(same).alias("m"), F.max("r").over(same).alias("r"))
+    before = ends.select("key", "b", F.lag(F.struct("m", "r")).over(blocks).alias("c")).filter("c is not null")
+    held = lambda m, r: F.coalesce(m["set"], F.lit(False)) & ~F.coalesce(r >= m["expires"], F.lit(False))
+    last = ends.groupBy("key").agg(F.max_by(F.struct("m", "r"), "b").alias("e"), F.max("filled").alias("filled"))
+    cost = F.when(held(F.col("e.m"), F.col("e.r")), F.col("e.m.cost")).when(F.col("e.r").isNotNull(), F.col("filled"))
+    kept = last.agg(F.coalesce(F.sum(cost), F.lit(0)).alias("usage"), F.count(cost).alias("physical"))
+
+    own = Window.partitionBy("key", "b", "turn").orderBy("seq")
+    reads = rows.withColumns({"m": F.first("m", ignorenulls=True).over(own), "r": F.max("r").over(own.rowsBetween(Window.unboundedPreceding, -1))}).filter("read").join(before, ["key", "b"], "left")
+    first = F.col("turn") == 0
+    reads = reads.select("seq", "now", F.when(first, F.col("c.m")).otherwise(F.col("m")).alias("m"), F.when(first, F.greatest("c.r", "r")).otherwise(F.col("r")).alias("r"))
+    hit = F.when(held(F.col("m"), F.col("r")), F.col("now") < F.col("m.expires")).otherwise(F.col("r").isNotNull())
+    found = reads.select("seq", hit.alias("hit")).unionByName(log.filter(F.col("op") == ASTRAY).select("seq", F.lit(False).alias("hit")))
+    start = log.select("seq").sort("seq").offset(warm).limit(1).first() if warm else None
+    if start:
+        found = found.filter(F.col("seq") >= start[0])
+    return found.agg(F.count_if("hit").alias("hits"), F.count_if(~F.col("hit")).alias("misses")).crossJoin(kept)
+
+
+def replay_policies(log: DataFrame, configurations: list[tuple[str, int]], fill: int | None = None, lower_to: int | None = None, switch_to: str | None = None, seed: int = 1, warm: int = 0, part: int = PART) -> DataFrame:
     """(policy, ceiling, hits, misses, evictions, rejected, usage, physical) of the whole log under
     each configuration. With `fill` a read that misses writes its key, with a value of so many
     bytes. With `lower_to` the
     ceiling falls to that after half of the rows, with `switch_to` the policy becomes that. Hits and misses are those after the first
-    `warm` rows; the rest is of the whole log."""
-
+    `warm` rows; the rest is of the whole log. Configurations that never have a ceiling are one replay by
+    key; the others pass over the log in parts of `part` rows."""
+    for policy, _ in configurations:
+        parse_policy(policy)
     half = log.count() // 2 if lower_to is not None or switch_to else -1
-
-    def fold(key, rows):
-        policy, ceiling = key
-        sim, rejected = Simulator(policy, int(ceiling), seed), 0
-        for i, (op, k, now, size, ttl) in enumerate(rows):
-            if i == warm:
-                sim.hits = sim.misses = 0
-            if i == half and switch_to:
-                sim.set_policy(switch_to)
-            if i == half and lower_to is not None:
-                sim.set_ceiling(lower_to)
-            if op in ("GET", "EXISTS"):
-                if not sim.get(k, now) and fill is not None:
-                    rejected += not sim.set(k, fill, now).ok
-            elif op == "SET":
-                rejected += not sim.set(k, size, now, ttl).ok
-            elif op == "DEL":
-                sim.delete(k, now)
-        yield policy, ceiling, sim.hits, sim.misses, sim.evictions, rejected, sim.usage, len(sim.entries)
-
-    each = F.explode(F.array(*[F.struct(F.lit(p).alias("policy"), F.lit(c).cast("long").alias("ceiling")) for p, c in configurations]))
-    rows = log.select("seq", "op", "key", "ts_us", "value_len", "ttl_us", each.alias("_c")).select("_c.policy", "_c.ceiling", "seq", "op", "key", "ts_us", "value_len", "ttl_us")
-    return in_order(rows, 2, fold, RESULT)
+    rows, free = commands(log, fill), [] if lower_to is not None and lower_to > 0 else [c for c in configurations if c[1] <= 0]
+    bound = [c for c in configurations if c not in free]
+    machines = [Replaying(p, c, seed, fill is not None, warm, half, lower_to, switch_to) for p, c in bound]
+    found = in_parts(rows, machines, RESULT, part) if bound else log.sparkSession.createDataFrame([], RESULT)
+    if not free or log.isEmpty():
+        return found
+    each = F.explode(F.array(*[F.struct(F.lit(p).alias("policy"), F.lit(c).cast("long").alias("ceiling")) for p, c in free])).alias("_c")
+    none = F.lit(0).cast("long")
+    return found.unionByName(replay_unbounded(rows, fill is not None, warm).select(each, "*").select("_c.*", "hits", "misses", none.alias("evictions"), none.alias("rejected"), "usage", "physical"))
 
 
 def replay_lru(trace: DataFrame, capacity: int, entry: int, warm: int = 0) -> DataFrame:
