@@ -346,6 +346,20 @@ class Replaying:
         yield self.policy, self.ceiling, sim.hits, sim.misses, sim.evictions, self.rejected, sim.usage, len(sim.entries)
 
 
+class Recording:
+    """The frequencies of keys, as the one row of bytes that they pickle to."""
+
+    def __init__(self, counters: int, seed: int):
+        self.seed, self.frequencies = seed, Frequencies(counters, seed)
+
+    def feed(self, keys: list) -> None:
+        for k in keys:
+            self.frequencies.record(fingerprint(k, self.seed))
+
+    def results(self):
+        yield (pickle.dumps(self.frequencies),)
+
+
 def commands(log: DataFrame, fill: int | None) -> DataFrame:
     """(seq, op, key, now, cost, expires): codes of commands, and for what is or may be written its
     bytes and expiry. A null value has no bytes; at a null instant all that expires has expired.

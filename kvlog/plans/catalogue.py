@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import pickle
 import re
-from collections import Counter
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -479,15 +479,16 @@ shared("door_second_sighting_exact", "SELECT l.seq, l.key, l.seq > f.first AS se
 
 def _estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(key, n, estimate): how often each key was read, and what the sketch holds at the end."""
-    def fold(_, reads):
-        f, n = sketch.Frequencies(1024, 1), Counter()
-        for (k,) in reads:
-            f.record(policies.fingerprint(k, 1))
-            n[k] += 1
-        yield from ((k, times, f.estimate(policies.fingerprint(k, 1))) for k, times in n.items())
-
-    reads = command_log(spark, sf_dir).filter("op in ('GET', 'EXISTS')").select(F.lit(0).alias("trace"), "seq", "key")
-    return policies.in_order(reads, 1, fold, "key string, n long, estimate long")
+    reads = command_log(spark, sf_dir).filter("op in ('GET', 'EXISTS')").select("seq", "key")
+    end = policies.in_parts(reads, [policies.Recording(1024, 1)], "frequencies binary").first()
+
+    def run(batches):
+        f = pickle.loads(end[0]) if end else None
+        for b in batches:
+            found = [f.estimate(policies.fingerprint(k, 1)) for k in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.int64())], ["key", "n", "estimate"])
+
+    return reads.groupBy("key").agg(F.count("*").alias("n")).mapInArrow(run, "key string, n long, estimate long")
 
 
 QUERIES["sketch_estimate"] = _estimates
