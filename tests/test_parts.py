@@ -88,7 +88,7 @@ def held_rows(spark, folder):
     return sizes
 
 
-@pytest.mark.parametrize("name", ["sim_policy_compare", "sim_lfu", "sim_lower_ceiling", "sim_noeviction", "sim_policy_switch"])
+@pytest.mark.parametrize("name", ["sim_policy_compare", "sim_lfu", "sim_lower_ceiling", "sim_noeviction", "sim_policy_switch", "sim_random"])
 def test_no_task_takes_the_whole_log(spark, monkeypatch, tmp_path, name):
     rows = trace(900, 5)
     folder = kept_files(monkeypatch, tmp_path)
