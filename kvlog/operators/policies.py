@@ -239,12 +239,25 @@ HELD = "slot int, number long, rows binary"
 
 
 def _packed(batches):
-    """Each batch as one row (part, number, rows) without its leading (part, seq), compressed."""
+    """Each batch as one row (part, number, n, rows) without its leading (part, seq), compressed; n are its rows."""
     for number, b in enumerate(b for b in batches if b.num_rows):
         own, sink = b.drop_columns(b.schema.names[:2]), pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, own.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
             out.write_batch(own)
-        yield pa.RecordBatch.from_arrays([b.column(0)[:1], pa.array([number], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["part", "number", "rows"])
+        yield pa.RecordBatch.from_arrays([b.column(0)[:1], pa.array([number], pa.int64()), pa.array([b.num_rows], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["part", "number", "n", "rows"])
+
+
+def _turns(sizes: list[tuple[int, int]], most: int) -> list[list[int]]:
+    """Parts of `sizes` (part, rows), in their order, by turns of at most `most` rows, or one part."""
+    turns: list[list[int]] = []
+    held = 0
+    for part, n in sorted(sizes):
+        held += n
+        if not turns or held > most:
+            turns.append([])
+            held = n
+        turns[-1].append(part)
+    return turns
 
 
 def _sliced(slot: int, machine):
@@ -260,14 +273,17 @@ def in_parts(rows: DataFrame, machines: list, schema: str, part: int = PART) ->
     The rows are cut by ranges of seq into parts of about `part` rows, each sorted and packed by a
     task of its own. Part by part each machine is one task: it takes the machine as the part before
     left it, in the shared folder, and leaves it there again. So a task's time and memory are those
-    of a part and of what a machine holds, however long the log is."""
+    of a part and of what a machine holds, however long the log is. The parts are those that were
+    written, be they more than asked for; small ones pass in one turn."""
     spark, n = rows.sparkSession, rows.count()
     if not n:
         return spark.createDataFrame([], schema)
     folder, parts, results = shared_dir(spark, "replay"), -(-n // part), StructType.fromDDL(schema)
     cut = rows.repartitionByRange(parts, rows.columns[0]).select(F.spark_partition_id().alias("part"), *rows.columns)
-    cut.sortWithinPartitions("part", rows.columns[0]).mapInArrow(_packed, "part int, number long, rows binary").write.partitionBy("part").parquet(f"{folder}/log")
-    log = spark.read.schema("number long, rows binary, part int").parquet(f"{folder}/log")
+    cut.sortWithinPartitions("part", rows.columns[0]).mapInArrow(_packed, "part int, number long, n long, rows binary").write.partitionBy("part").parquet(f"{folder}/log")
+    log = spark.read.schema("number long, n long, rows binary, part int").parquet(f"{folder}/log")
+    turns = _turns([tuple(r) for r in log.groupBy("part").agg(F.sum("n")).collect()], part)
+    number = (F.col("part").cast("long") * (1 << 32) + F.col("number")).alias("number")
     each = F.explode(F.array(*[F.lit(i) for i in range(len(machines))])).alias("slot")
 
     def stage(kinds: StructType, leave):
@@ -288,14 +304,14 @@ def in_parts(rows: DataFrame, machines: list, schema: str, part: int = PART) ->
         return run
 
     held = spark.createDataFrame([r for i, m in enumerate(machines) for r in _sliced(i, m)], HELD)
-    for i in range(parts):
-        last = i == parts - 1
+    for i, turn in enumerate(turns):
+        last = i == len(turns) - 1
         kinds, leave = (results, lambda _, m: m.results()) if last else (StructType.fromDDL(HELD), _sliced)
-        own = held.unionByName(log.filter(F.col("part") == i).select(each, "number", "rows"))
+        own = held.unionByName(log.filter(F.col("part").between(turn[0], turn[-1])).select(each, number, "rows"))
         own = own.repartitionById(len(machines), "slot").sortWithinPartitions("slot", "number").mapInArrow(stage(kinds, leave), schema if last else HELD)
         own.write.parquet(f"{folder}/{i}")
         held = spark.read.schema(schema if last else HELD).parquet(f"{folder}/{i}")
-        for done in (f"{folder}/{i - 1}", f"{folder}/log{'' if last else f'/part={i}'}"):
+        for done in (f"{folder}/{i - 1}", *([f"{folder}/log"] if last else [f"{folder}/log/part={p}" for p in turn])):
             removed(spark, done)
     return held
 

@@ -99,3 +99,16 @@ def test_no_task_takes_the_whole_log(spark, monkeypatch, tmp_path, name):
     sizes = held_rows(spark, folder)
     assert sum(sizes.values()) == 900 and len(sizes) == 5 and max(sizes.values()) < 450
     assert sorted(r["usage"] for r in found) and all((folder / str(i)).exists() for i in range(5))
+
+
+def test_more_parts_than_asked_for(spark, monkeypatch, tmp_path):
+    """A session may deal rows to more partitions than it is told to; none of them is left out."""
+    rows, frame = trace(600, 8), type(spark.range(0))
+    folder, dealt = kept_files(monkeypatch, tmp_path), frame.repartitionByRange
+    monkeypatch.setattr(frame, "repartitionByRange", lambda self, n, *by: dealt(self, max(n, 23), *by))
+    found = policies.replay_policies(spark.createDataFrame(rows, LOG), [c for c in EVERY if c[1]], part=200, fill=64).collect()
+    assert sorted(map(tuple, found)) == looped(rows, [c for c in EVERY if c[1]], fill=64)
+    sizes = held_rows(spark, folder)
+    assert len(sizes) > 5 and sum(sizes.values()) == 600
+    assert sum((folder / str(i)).exists() for i in range(23)) <= 5
+    assert policies._turns([(4, 9), (0, 3), (2, 3), (5, 1), (1, 4), (7, 6)], 7) == [[0, 1], [2], [4], [5, 7]]
